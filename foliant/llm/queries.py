@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, near_dedup, packing
+from . import chat, exact_dedup, lm_scoring, mixing, near_dedup, packing, secrets
 from .common import documents
 
 
@@ -15,6 +15,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan_secrets(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))
+    of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    said = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return spans.select("doc_id", *counts, F.sha2(said(of(["assign", "access", "hex"])), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
@@ -102,7 +114,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_format_chats, op8_minhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op4_mix_sources, op5_format_chats, op8_minhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
