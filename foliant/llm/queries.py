@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, secrets
+from . import chat, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, quality, secrets
 from .common import documents
 
 
@@ -84,6 +84,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -118,7 +122,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op4_mix_sources, op5_format_chats, op6_nearest_neighbours, op8_minhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op4_mix_sources, op5_format_chats, op6_nearest_neighbours, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
