@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, quality, secrets
+from . import chat, exact_dedup, html_text, lm_scoring, mixing, near_dedup, neighbours, packing, quality, secrets
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(documents(spark, sf_dir))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
@@ -122,7 +126,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op4_mix_sources, op5_format_chats, op6_nearest_neighbours, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_html_extraction, op4_mix_sources, op5_format_chats, op6_nearest_neighbours, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
