@@ -2,10 +2,582 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import blocks, chunking, highlight, jobs, library, retrieval, search, summary
+from .plans.views import CHUNKS, DOCS, LOW, library_documents, table, views
+from .sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+WITH = f"WITH {DOCS},\n{CHUNKS}"
+QUERY, RARE, MIXED = "the src1", "thanedble", "the que src1"
+LOW_TEXT, LOW_NAME = LOW.format("c.text"), LOW.format("d.filename")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def counted(term: str, low: str = LOW_TEXT) -> str:
+    return f"((length({low}) - length(replace({low}, '{term}', ''))) // {len(term)})"
+
+
+def matches_sql(q: str, doc_id: int | None = None) -> str:
+    """CTE m: the matching chunks."""
+    terms = X.terms_of(q)
+    both = " AND ".join(f"(contains({LOW_TEXT}, '{t}') OR contains({LOW_NAME}, '{t}'))" for t in terms) if len(terms) > 1 else "true"
+    some = " OR ".join(f"contains({LOW_TEXT}, '{t}')" for t in terms)
+    n = " + ".join(counted(t) for t in terms)
+    only = f"AND d.id = {doc_id}" if doc_id else ""
+    return f"m AS (SELECT c.id, c.doc_id, c.seq, c.page_start, c.heading, c.text, d.filename, ({n})::BIGINT AS n_hits FROM chunks c JOIN docs d ON d.id = c.doc_id WHERE d.status = 'done' AND {both} AND ({some}) {only})"
+
+
+def named_sql(q: str) -> str:
+    return "f AS (SELECT id AS doc_id, filename FROM docs d WHERE status = 'done' AND " + " AND ".join(f"contains({LOW_NAME}, '{t}')" for t in X.terms_of(q)) + ")"
+
+
+# ---- exact search
+
+
+@query(f"{WITH}, {matches_sql(RARE)} SELECT id, doc_id, seq, page_start, n_hits FROM m")
+def exact_single_term(spark, d):
+    docs, chunks = views(spark, d)
+    return search.keyword_matches(chunks, docs, RARE)
+
+
+@query(f"{WITH}, {matches_sql(MIXED)} SELECT id, doc_id, seq, page_start, n_hits FROM m")
+def exact_multi_term(spark, d):
+    docs, chunks = views(spark, d)
+    return search.keyword_matches(chunks, docs, MIXED)
+
+
+@query(f"{WITH}, {matches_sql('the', 37)} SELECT id, doc_id, seq, page_start, n_hits FROM m")
+def exact_doc_filter(spark, d):
+    docs, chunks = views(spark, d)
+    return search.keyword_matches(chunks, docs, "the", 37)
+
+
+@query(f"WITH {DOCS}, {named_sql('src1 fr')} SELECT doc_id, filename FROM f")
+def filename_hits(spark, d):
+    return search.filename_hits(library_documents(spark, d), "SRC1  fr")
+
+
+GROUPED_SQL = """, g AS (SELECT doc_id, sum(n_hits)::BIGINT AS hit_count, count(*) AS chunk_count FROM m GROUP BY doc_id),
+r AS (SELECT coalesce(g.doc_id, f.doc_id) AS doc_id, f.doc_id IS NOT NULL AS filename_match, coalesce(hit_count, 0)::BIGINT AS hit_count, coalesce(chunk_count, 0)::BIGINT AS chunk_count
+      FROM g FULL JOIN f ON f.doc_id = g.doc_id)
+SELECT r.doc_id, d.filename, filename_match, hit_count, chunk_count, (row_number() OVER (ORDER BY filename_match DESC, hit_count DESC, d.filename, r.doc_id))::INTEGER AS rank FROM r JOIN docs d ON d.id = r.doc_id"""
+
+
+@query(f"{WITH}, {matches_sql(QUERY)}, {named_sql(QUERY)}{GROUPED_SQL}")
+def search_grouped(spark, d):
+    docs, chunks = views(spark, d)
+    return search.grouped(chunks, docs, QUERY)
+
+
+@query(f"{WITH}, {matches_sql('src1')}, {named_sql('src1')}{GROUPED_SQL}")
+def search_by_filename(spark, d):
+    docs, chunks = views(spark, d)
+    return search.grouped(chunks, docs, "src1")
+
+
+@query(f"{WITH}, {matches_sql(QUERY)}, {named_sql(QUERY)}, g AS (SELECT doc_id, sum(n_hits) AS h, count(*) AS c FROM m GROUP BY doc_id UNION ALL SELECT doc_id, 0, 0 FROM f), p AS (SELECT doc_id, sum(h) AS h, sum(c) AS c FROM g GROUP BY doc_id) SELECT count(*) AS total_docs, coalesce(sum(h), 0)::BIGINT AS total_hits, coalesce(sum(c), 0)::BIGINT AS total_chunks FROM p")
+def search_totals(spark, d):
+    docs, chunks = views(spark, d)
+    return search.totals(chunks, docs, QUERY)
+
+
+@query(f"{WITH}, {matches_sql('ing')}, p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page_start, seq, id))::INTEGER AS place FROM m) SELECT doc_id, id, place, n_hits, heading, text FROM p WHERE place <= 3")
+def search_previews(spark, d):
+    docs, chunks = views(spark, d)
+    return search.previews(chunks, docs, "ING")
+
+
+@query(f"{WITH}, {matches_sql('the', 5)}, p AS (SELECT *, (row_number() OVER (ORDER BY page_start, seq, id))::INTEGER AS place, count(*) OVER () AS total FROM m) SELECT id, place, total, n_hits, text FROM p WHERE place > 2 AND place <= 12")
+def doc_hits_page(spark, d):
+    docs, chunks = views(spark, d)
+    return search.hits_page(chunks, docs, "the", 5, 2, 10)
+
+
+MANY = ("the", "thanedble", "que la", "src1 der", "nothinghere")
+
+
+@query(f"{WITH}, " + ", ".join(matches_sql(q).replace("m AS (", f"m{i} AS (", 1) for i, q in enumerate(MANY)) + " " + " UNION ALL ".join(f"SELECT '{q}' AS query, count(DISTINCT doc_id) AS docs, sum(n_hits)::BIGINT AS hits, count(*) AS chunks FROM m{i} HAVING count(*) > 0" for i, q in enumerate(MANY)))
+def many_queries(spark, d):
+    docs, chunks = views(spark, d)
+    return search.many_queries(chunks, docs, list(MANY))
+
+
+@query(f"{WITH} SELECT id, page_start + 1 AS page, list_transform(list_sort(list_distinct([page_start + 1, page_start + 1 + seq % 2])), lambda x: x::VARCHAR).array_to_string(',') AS pages FROM chunks")
+def chunk_pages_projection(spark, d):
+    _, chunks = views(spark, d)
+    regions = F.array(*[F.struct((F.col("page_start") + i * (F.col("seq") % 2)).cast("int").alias("page"), F.lit(0.0).alias("x0")) for i in (1, 0)])
+    pages = F.array_sort(F.array_distinct(F.transform(regions, lambda r: r["page"] + 1)))
+    return chunks.select("id", (F.col("page_start") + 1).alias("page"), F.array_join(pages.cast("array<string>"), ",").alias("pages"))
+
+
+@query("SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'é', ''))) // 1 + (length(lower(text)) - length(replace(lower(text), 'ing', ''))) // 3)::BIGINT AS n FROM documents")
+def occurrence_counts_unicode(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.occurrences_of_all(F.lower("text"), ["é", "ing"]).alias("n"))
+
+
+FLAT = r"trim(regexp_replace(regexp_replace(text, '\s*\|\s*', ' | ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"{WITH}, a AS (SELECT id, {FLAT} AS flat FROM chunks), b AS (SELECT id, flat, least(nullif(instr(lower(flat), 'the'), 0), nullif(instr(lower(flat), 'que'), 0)) AS place FROM a), c AS (SELECT *, coalesce(greatest(0, place - 21), 0) AS s FROM b) SELECT id, (CASE WHEN s > 0 THEN '…' ELSE '' END) || substr(flat, s + 1, 80) || (CASE WHEN s + 80 < length(flat) THEN '…' ELSE '' END) AS snippet FROM c")
+def snippet(spark, d):
+    _, chunks = views(spark, d)
+    return chunks.select("id", X.snippet("text", ["the", "que"]).alias("snippet"))
+
+
+@query(f"{WITH} SELECT id, regexp_replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '(thing|the)', '<mark>\\1</mark>', 'gi') AS html FROM chunks")
+def mark_terms(spark, d):
+    _, chunks = views(spark, d)
+    return chunks.select("id", X.marked("text", ["the", "thing"]).alias("html"))
+
+
+@query("SELECT event_id, array_to_string(list_distinct_ordered, ' ') AS terms FROM (SELECT event_id, [event_type, lower(props[1:12]), event_type] AS raw FROM events) t, LATERAL (SELECT CASE WHEN raw[1] = raw[2] THEN [raw[1]] ELSE [raw[1], raw[2]] END AS list_distinct_ordered)")
+def query_terms(spark, d):
+    e = table(spark, d, "events")
+    q = F.concat_ws("　", F.upper("event_type"), F.regexp_replace(F.left("props", F.lit(12)), r"\s", "_"), F.col("event_type"))
+    return e.select("event_id", F.array_join(X.terms_column(q), " ").alias("terms"))
+
+
+SQL["query_terms"] = r"SELECT event_id, CASE WHEN lower(p) = event_type THEN event_type ELSE event_type || ' ' || lower(p) END AS terms FROM (SELECT event_id, lower(event_type) AS event_type, regexp_replace(left(props, 12), '\s', '_', 'g') AS p FROM events)"
+
+# ---- library
+
+
+@query(f"WITH {DOCS}, q AS (SELECT id, row_number() OVER (ORDER BY id) AS queue_pos FROM docs WHERE status = 'queued'), p AS (SELECT * FROM docs d WHERE contains({LOW_NAME}, 'src1') ORDER BY id DESC LIMIT 50 OFFSET 50) SELECT p.id, filename, size, status, queue_pos FROM p LEFT JOIN q USING (id)")
+def library_page(spark, d):
+    return library.page(library_documents(spark, d), 2, 50, "all", " SRC1 ")
+
+
+@query(f"WITH {DOCS} SELECT id, (row_number() OVER (ORDER BY id DESC))::INTEGER AS place FROM docs WHERE status NOT IN ('done', 'failed')")
+def library_ids(spark, d):
+    return library.listed(library_documents(spark, d), "busy").select("id", F.row_number().over(Window.orderBy(F.desc("id"))).alias("place"))
+
+
+@query(f"WITH {DOCS} SELECT count(*) AS n_all, count(*) FILTER (status NOT IN ('done', 'failed')) AS n_busy, count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'failed') AS n_failed FROM docs d WHERE contains({LOW_NAME}, 'en_')")
+def library_class_counts(spark, d):
+    return library.class_counts(library_documents(spark, d), "EN_")
+
+
+@query(f"WITH {DOCS} SELECT count(*) AS n_all, count(*) FILTER (status NOT IN ('done', 'failed')) AS n_busy FROM docs")
+def library_overall(spark, d):
+    return library.overall(library_documents(spark, d))
+
+
+@query(f"WITH {DOCS} SELECT id, row_number() OVER (ORDER BY id) AS queue_pos FROM docs WHERE status = 'queued'")
+def queue_position(spark, d):
+    return library.queue_positions(library_documents(spark, d))
+
+
+@query(f"WITH {DOCS} SELECT min(id) AS id FROM docs WHERE status = 'queued'")
+def next_job(spark, d):
+    return library.next_job(library_documents(spark, d))
+
+
+@query(f"{WITH} SELECT (SELECT count(*) FROM docs WHERE status = 'done') AS n_documents, (SELECT count(*) FROM chunks) AS n_chunks")
+def health_counts(spark, d):
+    docs, chunks = views(spark, d)
+    done = docs.agg(F.count_if(F.col("status") == "done").alias("n_documents"))
+    return done.join(chunks.agg(F.count("*").alias("n_chunks")))  # one row each
+
+
+@query("WITH p AS (SELECT o_orderkey::INTEGER % 400 + 1 AS total, 20 AS size, o_custkey::INTEGER % 20 + 1 AS page FROM orders GROUP BY ALL), q AS (SELECT *, greatest(1, ceil(total / size)::INTEGER) AS last FROM p), r AS (SELECT total, size, page, list_sort(list_distinct(list_filter([1, page - 2, page - 1, page, page + 1, page + 2, last], lambda x: x >= 1 AND x <= last))) AS s FROM q), u AS (SELECT total, size, page, s, unnest(s) AS number FROM r) SELECT total, size, page, number, number - coalesce(list_max(list_filter(s, lambda x: x < number)), 0) > 1 AS gap, number = page AS current FROM u")
+def pager_window(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_orderkey").cast("int") % 400 + 1).alias("total"), F.lit(20).alias("size"), (F.col("o_custkey").cast("int") % 20 + 1).alias("page")).distinct()
+    return library.pager(o)
+
+
+@query("SELECT q, t AS \"at\", place::INTEGER AS place FROM (SELECT q, t, row_number() OVER (ORDER BY t DESC, q) AS place FROM (SELECT event_type || ' ' || user_id AS q, max(ts) AS t FROM events GROUP BY ALL)) WHERE place <= 30")
+def history_recent(spark, d):
+    e = table(spark, d, "events").select(F.col("ts").alias("at"), F.concat_ws(" ", "event_type", "user_id").alias("q"))
+    return library.recent_queries(e)
+
+
+# ---- files
+
+
+@query(f"WITH {DOCS}, o AS (SELECT *, min(id) OVER (PARTITION BY sha256) AS first FROM docs) SELECT id AS ord, filename, sha256, first, (id > first) AS duplicate, NULL::VARCHAR AS error FROM o")
+def dedupe_register(spark, d):
+    return files.register(library_documents(spark, d).select(F.col("id").alias("ord"), "filename", "sha256")).select("ord", "filename", "sha256", "first", "duplicate", F.col("error").cast("string").alias("error"))
+
+
+@query(f"WITH {DOCS} SELECT id, sha256 || '.pdf' AS orig_path, sha256 || '.pdf' AS pdf_path FROM docs")
+def artefact_paths(spark, d):
+    return files.artefact_paths(library_documents(spark, d))
+
+
+@query(f"WITH {DOCS} SELECT DISTINCT sha256 FROM docs WHERE sha256 NOT IN (SELECT sha256 FROM docs WHERE status <> 'failed')")
+def orphan_files(spark, d):
+    docs = library_documents(spark, d)
+    return files.orphans(docs.select("sha256").distinct(), docs.filter("status <> 'failed'"))
+
+
+# ---- text
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', '', 'g')) AS text_hash FROM documents")
+def text_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.text_hash("text").alias("text_hash"))
+
+
+@query(rf"{WITH} SELECT id, regexp_replace(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', '', 'g'), '\p{{Nd}}+', '#', 'g') AS k FROM chunks")
+def margin_key(spark, d):
+    _, chunks = views(spark, d)
+    return chunks.select("id", X.margin_key("text").alias("k"))
+
+
+HEADS = "CASE e % 8 WHEN 0 THEN '第' || (e % 9 + 1) || '章 总则' WHEN 1 THEN (e % 9) || '.' || (e % 7) || ' 范围' WHEN 2 THEN (e % 5) || '.' || (e % 6) || '.3 细则' WHEN 3 THEN '（二）要求' WHEN 4 THEN '三、投标' WHEN 5 THEN '2024.12.' WHEN 6 THEN '第' || e || '节' ELSE 'plain ' || e END"
+
+
+def heading_samples(spark, d):
+    return table(spark, d, "events").selectExpr("event_id AS e").selectExpr("e", f"{HEADS} AS t")
+
+
+@query(rf"WITH h AS (SELECT event_id AS e, {HEADS.replace('e %', 'event_id %').replace('|| e', '|| event_id')} AS t FROM events) SELECT e, t, CASE WHEN regexp_matches(t, '^\d+[.．]\d+[.．]\d+') THEN 3 WHEN regexp_matches(t, '^(第[一二三四五六七八九十百零〇\d]+节|[（(][一二三四五六七八九十百零〇]+[)）])') OR (regexp_matches(t, '^\d+[.．]\d+\s*\S') AND NOT regexp_matches(t, '^\d+[.．]\d+[.．]\d') AND NOT regexp_matches(t, '^\d+[.．]\d+$')) THEN 2 WHEN regexp_matches(t, '^(第[一二三四五六七八九十百零〇\d]+[章部篇]|[一二三四五六七八九十百零〇]+[、．.]\s*\S)') THEN 1 ELSE 0 END AS level FROM h")
+def heading_level(spark, d):
+    return heading_samples(spark, d).select("e", "t", X.heading_level(F.col("t")).alias("level"))
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(text, '[^。！？；!?;\n]*[。！？；!?;\n]|[^。！？；!?;\n]+$'))::BIGINT AS n_pieces FROM documents")
+def sentence_pieces(spark, d):
+    pieces = F.filter(X.sentences("text"), lambda p: p != "")
+    return table(spark, d, "documents").select("doc_id", F.size(pieces).cast("bigint").alias("n_pieces"))
+
+
+ANSWERS = "CASE conv_id % 4 WHEN 0 THEN '<think>' || left(text, 40) || '</think>' || text WHEN 1 THEN left(text, 20) || '</think>' || text WHEN 2 THEN '```markdown' || chr(10) || text || chr(10) || '```' ELSE '  ' || text || '  ' END"
+STRIPPED = r"regexp_replace({}, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')"
+
+
+@query(f"SELECT conv_id, turn, {STRIPPED.format('text')} AS answer FROM conversations")
+def clean_llm_output(spark, d):
+    c = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{ANSWERS} AS a")
+    return c.select("conv_id", "turn", X.cleaned_answer(F.col("a")).alias("answer"))
+
+
+@query("SELECT o_orderkey, CASE WHEN s < 60 THEN s || ' 秒' WHEN s < 3600 THEN (s // 60) || ' 分钟' ELSE (s // 3600) || ' 小时 ' || (s % 3600 // 60) || ' 分钟' END AS lasted FROM (SELECT o_orderkey, floor(o_totalprice / 20)::BIGINT AS s FROM orders)")
+def duration_text(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", X.duration_text(F.col("o_totalprice") / 20).alias("lasted"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.0f KB', round(n / 1024.0, 0)::DOUBLE) ELSE printf('%.1f MB', round(n / 1048576.0, 1)::DOUBLE) END AS size FROM (SELECT doc_id, n_chars * 97 AS n FROM documents)")
+def size_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.size_text(F.col("n_chars") * 97).alias("size"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN url || '/v1' ELSE url END AS base FROM pages")
+def api_base(spark, d):
+    return table(spark, d, "pages").select("page_id", X.api_base(F.col("url")).alias("base"))
+
+
+@query("SELECT o_orderkey, c AS context, CASE WHEN c > 0 THEN least(2048, c // 4) ELSE 2048 END::INTEGER AS output_tokens, CASE WHEN c > 0 THEN greatest(1500, least(30000, floor((c - least(2048, c // 4) - 1000) * 0.9::DOUBLE)))::INTEGER ELSE 12000 END::INTEGER AS part_chars FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_totalprice / 4)::INTEGER END AS c FROM orders)")
+def budget_arithmetic(spark, d):
+    c = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.rint(F.col("o_totalprice") / 4).cast("int")).alias("context"))
+    return c.select("*", X.output_tokens(F.col("context")).cast("int").alias("output_tokens"), X.part_chars(F.col("context")).alias("part_chars"))
+
+
+@query("SELECT n_nationkey, 'a ' || n_name || ' b' || chr(10) || 'x | y' AS t FROM nation")
+def table_rows_text(spark, d):
+    n = table(spark, d, "nation")
+    rows = F.array(F.array(F.concat(F.lit("  a  "), "n_name", F.lit("\tb "))), F.array(F.lit(""), F.lit(None).cast("string")), F.array(F.lit("x"), F.lit(" y")))
+    return n.select("n_nationkey", X.rows_text(rows).alias("t"))
+
+
+@query("SELECT n_nationkey, n_name || ' 12中文x' AS t FROM nation")
+def joined_lines(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", X.join_lines(F.array("n_name", F.lit("12中"), F.lit("文x"))).alias("t"))
+
+
+# ---- blocks: one raw block for each line, with made-up geometry
+
+RAW = """raws AS (SELECT doc_id, seq AS ord, seq // 8 AS page, 50.0::DOUBLE AS x0, (seq % 8 * 100 + 10)::DOUBLE AS y0, (CASE WHEN seq % 3 = 0 THEN 550 ELSE 400 END)::DOUBLE AS x1, (seq % 8 * 100 + 100)::DOUBLE AS y1,
+  CASE WHEN seq % 8 = 0 THEN 'Page ' || (seq // 8) WHEN seq % 8 = 7 THEN '- ' || (seq // 8 + 1) || ' -' WHEN seq % 8 = 3 THEN left(text, 24) ELSE text END AS text, contains(text, '|') AS is_table,
+  (CASE WHEN seq % 8 = 3 THEN 14 + seq % 3 ELSE 10 END)::DOUBLE AS size, seq % 2 = 1 AS bold, 1 AS nlines, 842.0::DOUBLE AS page_height FROM lines WHERE trim(text, ' ') <> '')"""
+LINES = CHUNKS.split(",\nchunks AS")[0]
+DOC_LINES = f"WITH {DOCS},\n{LINES},\n{RAW}"
+
+
+def raw_blocks(spark, d) -> DataFrame:
+    _, chunks = views(spark, d)
+    s = F.col("seq")
+    return chunks.select(
+        "doc_id", s.alias("ord"), F.floor(s / 8).cast("int").alias("page"), F.lit(50.0).alias("x0"), (s % 8 * 100 + 10).cast("double").alias("y0"), F.when(s % 3 == 0, 550.0).otherwise(400.0).alias("x1"), (s % 8 * 100 + 100).cast("double").alias("y1"),
+        F.when(s % 8 == 0, F.concat(F.lit("Page "), F.floor(s / 8))).when(s % 8 == 7, F.concat(F.lit("- "), F.floor(s / 8) + 1, F.lit(" -"))).when(s % 8 == 3, F.left("text", F.lit(24))).otherwise(F.col("text")).alias("text"),
+        (F.instr("text", "|") > 0).alias("is_table"), F.when(s % 8 == 3, (14 + s % 3).cast("double")).otherwise(10.0).alias("size"), (s % 2 == 1).alias("bold"), F.lit(1).alias("nlines"), F.lit(842.0).alias("page_height"),
+    )
+
+
+def kept_blocks(spark, d) -> DataFrame:
+    raws = raw_blocks(spark, d)
+    return blocks.drop_margins(raws, raws.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages")))
+
+
+KEPT = r"""margins AS (SELECT *, CASE WHEN NOT is_table AND (y0 < page_height * 0.08 OR y1 > page_height * 0.92) THEN regexp_replace(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', '', 'g'), '\p{Nd}+', '#', 'g') END AS k FROM raws),
+often AS (SELECT doc_id, k FROM margins JOIN (SELECT doc_id, max(page) + 1 AS n FROM raws GROUP BY doc_id) USING (doc_id) WHERE k IS NOT NULL GROUP BY doc_id, k, n HAVING count(DISTINCT page) >= greatest(3, n * 0.3)),
+kept AS (SELECT m.* FROM margins m LEFT JOIN often o ON o.doc_id = m.doc_id AND o.k = m.k WHERE m.k IS NULL OR (o.k IS NULL AND NOT regexp_full_match(text, '[-—\s]*(第\s*)?\d+\s*页?\s*([/／共]\s*\d+\s*页?)?[-—\s]*')))"""
+
+
+@query("SELECT doc_id, ((a >= 30 AND b / a > 0.3) OR (r > 0.5 AND a < 300) OR (a < 30 AND (r > 0.1 OR w > 200))) AS scanned FROM (SELECT doc_id, (n_chars % 700)::INTEGER AS a, (n_chars % 211)::INTEGER AS b, (doc_id % 10) / 10.0::DOUBLE AS r, (n_chars % 400)::INTEGER AS w FROM documents)")
+def needs_ocr(spark, d):
+    s = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 700).alias("n_chars"), (F.col("n_chars") % 211).alias("n_bad"), (F.col("doc_id") % 10 / 10).alias("img_ratio"), (F.col("n_chars") % 400).alias("n_drawings"))
+    return s.select("doc_id", F.coalesce(blocks.needs_ocr(), F.lit(False)).alias("scanned"))
+
+
+SQL["needs_ocr"] = "SELECT doc_id, coalesce((a >= 30 AND b / nullif(a, 0) > 0.3), false) OR (r > 0.5 AND a < 300) OR (a < 30 AND (r > 0.1 OR w > 200)) AS scanned FROM (SELECT doc_id, n_chars % 700 AS a, n_chars % 211 AS b, (doc_id % 10) / 10.0::DOUBLE AS r, n_chars % 400 AS w FROM documents)"
+
+
+@query(f"{DOC_LINES}, p AS (SELECT doc_id, size, sum(length(text)) AS n, min(ord) AS first FROM raws WHERE NOT is_table GROUP BY ALL) SELECT doc_id, arg_min(size, row(-n, first)) AS body FROM p GROUP BY doc_id")
+def body_font_size(spark, d):
+    return blocks.body_sizes(raw_blocks(spark, d))
+
+
+@query(f"{DOC_LINES}, {KEPT} SELECT doc_id, ord, text FROM kept")
+def drop_margins(spark, d):
+    return kept_blocks(spark, d).select("doc_id", "ord", "text")
+
+
+CLASSED = r"""body AS (SELECT doc_id, arg_min(size, row(-n, first)) AS body FROM (SELECT doc_id, size, sum(length(text)) AS n, min(ord) AS first FROM kept WHERE NOT is_table GROUP BY ALL) GROUP BY doc_id),
+heads AS (SELECT k.*, size >= coalesce(body, 10.5) * 1.15::DOUBLE AS big, NOT is_table AND length(text) <= 40 AND nlines <= 2 AND NOT contains('。；;，,', right(text, 1)) AND NOT regexp_matches(text, '(\.{3,}|…{2,}|·{3,}|-{4,})\s*\d+\s*$') AS short FROM kept k LEFT JOIN body USING (doc_id)),
+ranks AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS rank FROM (SELECT DISTINCT doc_id, size FROM heads WHERE short AND big)),
+classed AS (SELECT h.*, CASE WHEN is_table THEN 'table' WHEN short AND big THEN 'title' ELSE 'text' END AS kind, CASE WHEN short AND big THEN least(4, rank) ELSE 0 END::INTEGER AS level FROM heads h LEFT JOIN ranks USING (doc_id, size))"""
+
+
+@query(f"{DOC_LINES}, {KEPT}, {CLASSED} SELECT doc_id, ord, kind, level, text FROM classed")
+def classify_blocks(spark, d):
+    return blocks.classify(kept_blocks(spark, d)).select("doc_id", "ord", "kind", "level", "text")
+
+
+@query(f"""{DOC_LINES}, {KEPT}, {CLASSED}, p AS (SELECT *, lag(kind) OVER o AS pk, lag(text) OVER o AS pt, lag(page) OVER o AS pp, lag(x1) OVER o AS px, lag(y0) OVER o AS py0, lag(y1) OVER o AS py1, greatest(0, max(CASE WHEN kind = 'text' THEN x1 END) OVER (PARTITION BY doc_id, page)) AS r FROM classed WINDOW o AS (PARTITION BY doc_id ORDER BY ord))
+SELECT doc_id, ord, coalesce(kind = 'text' AND pk = 'text' AND NOT contains('。！？；：!?;:…”」』', right(pt, 1)) AND (CASE WHEN pp = page THEN px >= r * 0.9::DOUBLE AND y0 - py1 >= 0 AND y0 - py1 < least(py1 - py0, y1 - y0) * 1.2::DOUBLE ELSE page = pp + 1 END), false) AS cont FROM p""")
+def continuations(spark, d):
+    return blocks.continuations(blocks.classify(kept_blocks(spark, d))).select("doc_id", "ord", "cont")
+
+
+@query(f"{DOC_LINES} SELECT r.doc_id, r.ord FROM raws r WHERE NOT r.is_table AND NOT EXISTS (SELECT 1 FROM raws t WHERE t.is_table AND t.doc_id = r.doc_id AND t.page = r.page AND (r.x0 + r.x1) / 2 >= t.x0 AND (r.x0 + r.x1) / 2 < t.x1 AND (r.y0 + r.y1) / 2 >= t.y0 - 100 AND (r.y0 + r.y1) / 2 < t.y1 + 100)")
+def outside_tables(spark, d):
+    raws = raw_blocks(spark, d)
+    tables = raws.filter("is_table").withColumn("y0", F.col("y0") - 100).withColumn("y1", F.col("y1") + 100)
+    return blocks.outside_tables(raws.filter("NOT is_table"), tables).select("doc_id", "ord")
+
+
+@query("""WITH i AS (SELECT event_id AS doc_id, user_id::INTEGER % 3 AS page_idx, CASE event_type WHEN 'view' THEN 'text' WHEN 'click' THEN 'image' WHEN 'signup' THEN 'list' WHEN 'purchase' THEN 'header' ELSE 'text' END AS type, event_type, props, value FROM events)
+SELECT doc_id, page_idx + 10 AS page, 6.0::DOUBLE AS x0, 84.2::DOUBLE AS y0, CASE WHEN type = 'text' AND event_type = 'error' THEN 'title' ELSE 'text' END AS kind, CASE WHEN event_type = 'error' THEN 2 ELSE 0 END::INTEGER AS level, CASE type WHEN 'image' THEN props || ' note' WHEN 'list' THEN 'a' || chr(10) || props ELSE props END AS text FROM i WHERE type <> 'header' AND page_idx < 2""")
+def ocr_items_to_blocks(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "image").when(F.col("event_type") == "signup", "list").when(F.col("event_type") == "purchase", "header").otherwise("text")
+    fields = {"type": kind, "page_idx": (F.col("user_id").cast("int") % 3), "bbox": F.array(*map(F.lit, (10.0, 100.0, 500.0, 200.0))), "text": F.concat(F.lit(" "), "props"), "text_level": F.when(F.col("event_type") == "error", 2), "image_caption": F.array("props"), "image_footnote": F.array(F.lit("note")), "list_items": F.array(F.lit("a"), F.col("props"))}
+    names = [f.split(": ", 1) for f in blocks.ITEM[len("array<struct<") : -2].replace(", ", ",").split(",")]
+    item = F.struct(*[(fields[n] if n in fields else F.lit(None)).cast(t).alias(n) for n, t in names])
+    items = e.select(F.col("event_id").alias("doc_id"), F.lit(0).alias("ord"), item.alias("item"), F.lit(600.0).alias("width"), F.lit(842.0).alias("height"), F.array(F.lit(10), F.lit(11)).alias("pages"))
+    return blocks.item_blocks(items).select("doc_id", "page", "x0", "y0", "kind", "level", "text")
+
+
+@query("SELECT event_id AS doc_id, round(value * 595 / 1190.0, 1)::DOUBLE AS x0, round(value * 842 / 1684.0, 1)::DOUBLE AS y0 FROM events WHERE value IS NOT NULL")
+def ocr_lines_rescale(spark, d):
+    e = table(spark, d, "events").filter("value IS NOT NULL")
+    s = e.select(F.col("event_id").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("ord"), F.lit("x").alias("text"), *[F.round("value", 0).alias(c) for c in ("x0", "y0", "x1", "y1")], F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), F.lit(1190.0).alias("pw"), F.lit(1684.0).alias("ph"))
+    return blocks.rescaled_lines(s).select("doc_id", "x0", "y0")
+
+
+SQL["ocr_lines_rescale"] = "SELECT event_id AS doc_id, round(value, 0) / 2 AS x0, round(value, 0) / 2 AS y0 FROM events WHERE value IS NOT NULL"
+
+
+@query()
+def chunks_built(spark, d):
+    return chunking.build_chunks(blocks.continuations(blocks.classify(kept_blocks(spark, d)))).drop("regions")
+
+
+@query()
+def split_table(spark, d):
+    t = table(spark, d, "documents").filter(F.instr("text", "|") > 0).select("doc_id", "text")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame([(i, n, p) for i, text in zip(b["doc_id"], b["text"]) for n, p in enumerate(chunking.split_table(text))], columns=["doc_id", "piece", "text"])
+
+    return t.mapInPandas(run, "doc_id long, piece int, text string")
+
+
+@query(f"""{WITH}, a AS (SELECT doc_id, seq, heading, text, lag(heading) OVER (PARTITION BY doc_id ORDER BY seq) AS h FROM chunks), b AS (SELECT doc_id, string_agg(CASE WHEN heading <> '' AND heading IS DISTINCT FROM h THEN '【' || heading || '】' || chr(10) || text ELSE text END, chr(10) ORDER BY seq) AS t FROM a GROUP BY doc_id) SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n FROM b""")
+def heading_changes_text(spark, d):
+    _, chunks = views(spark, d)
+    return summary.document_texts(chunks).select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n"))
+
+
+# ---- ranked retrieval over whole documents and their vectors
+
+UNITS = "units AS (SELECT doc_id AS id, text FROM documents)"
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+ASKED = ("the", "thanedble", "eaen", "ounthen")
+BM25 = f"""w AS (SELECT id, {WORDS} AS t FROM units), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM w),
+df AS (SELECT term, count(*) FILTER (list_contains(t, term)) AS n FROM w, (SELECT unnest({list(ASKED)}) AS term) GROUP BY term),
+x AS (SELECT w.id, df.term, len(list_filter(w.t, lambda y: y = df.term)) AS f, len(w.t) AS dl, CASE WHEN ln((s.n - df.n + 0.5) / (df.n + 0.5)) > 0 THEN ln((s.n - df.n + 0.5) / (df.n + 0.5)) ELSE 1e-6 END AS idf, s.a FROM w, df, s),
+b AS (SELECT id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score FROM x GROUP BY id HAVING sum(f) > 0),
+best AS (SELECT id, score, (row_number() OVER (ORDER BY score, id))::INTEGER AS rank FROM b QUALIFY rank <= 100)"""
+KNN = """q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+knn AS (SELECT id, distance, (row_number() OVER (ORDER BY distance, id))::INTEGER AS rank FROM (SELECT vec_id AS id, round(1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) + 0.0::DOUBLE AS distance FROM embeddings, q {}) QUALIFY rank <= 100)"""
+FUSED = """fused AS (SELECT id, rrf, (row_number() OVER (ORDER BY rrf DESC, r1 NULLS LAST, r2))::INTEGER AS rank, r1, r2 FROM (SELECT coalesce(best.id, knn.id) AS id, best.rank AS r1, knn.rank AS r2, round(coalesce(1 / (60 + best.rank)::DOUBLE, 0) + coalesce(1 / (60 + knn.rank)::DOUBLE, 0), 9) AS rrf FROM best FULL JOIN knn ON best.id = knn.id))"""
+
+
+def units(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+def first_vector(spark, d):
+    return table(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"]
+
+
+@query(f"WITH {UNITS} SELECT term, id, count(*) AS tf FROM (SELECT id, unnest({WORDS}) AS term FROM units) GROUP BY ALL")
+def postings(spark, d):
+    return retrieval.postings(units(spark, d))
+
+
+@query(f"WITH {UNITS}, {BM25} SELECT id, score, rank FROM best")
+def bm25_top(spark, d):
+    return retrieval.bm25(units(spark, d), list(ASKED))
+
+
+@query(f"WITH {KNN.format('')} SELECT id, distance, rank FROM knn")
+def knn_cosine(spark, d):
+    return retrieval.cosine_neighbours(vectors(spark, d), first_vector(spark, d))
+
+
+@query(f"WITH {KNN.format('WHERE label = 3')} SELECT id, distance, rank FROM knn")
+def knn_filtered(spark, d):
+    return retrieval.cosine_neighbours(vectors(spark, d).filter("label = 3"), first_vector(spark, d))
+
+
+def fusion(spark, d):
+    return retrieval.fused(bm25_top(spark, d), knn_cosine(spark, d))
+
+
+@query(f"WITH {UNITS}, {BM25}, {KNN.format('')}, {FUSED} SELECT id, rrf, rank, r1, r2 FROM fused")
+def rrf_fusion(spark, d):
+    return fusion(spark, d)
+
+
+HYBRID = "hybrid AS (SELECT f.id, round(rrf + 0.03 * ((contains(lower(text), 'the'))::INTEGER + (contains(lower(text), 'ing'))::INTEGER) / 2, 9) AS score, rank AS before FROM fused f JOIN units u ON u.id = f.id)"
+
+
+@query(f"WITH {UNITS}, {BM25}, {KNN.format('')}, {FUSED}, {HYBRID} SELECT *, (row_number() OVER (ORDER BY score DESC, before))::INTEGER AS rank FROM hybrid")
+def hybrid_bonus(spark, d):
+    return retrieval.with_bonus(fusion(spark, d), units(spark, d), ["the", "ing"])
+
+
+@query(f"WITH {KNN.format('')} SELECT id, rank AS before, (row_number() OVER (ORDER BY rank <= 30 DESC, CASE WHEN rank <= 30 AND id % 3 > 0 THEN (id % 7)::DOUBLE ELSE -1e9 END DESC, rank))::INTEGER AS rank FROM knn")
+def rerank_head(spark, d):
+    scores = vectors(spark, d).filter("id % 3 > 0").select("id", (F.col("id") % 7).cast("double").alias("score"))
+    return retrieval.reranked(knn_cosine(spark, d).select("id", "rank"), scores)
+
+
+# ---- places on the page
+
+
+def page_lines(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", F.col("page_start").alias("page"), F.col("seq").alias("ord"), "text", F.lit(40.0).alias("x0"), F.col("y").alias("y0"), (F.lit(40.0) + F.length("text") * 6).alias("x1"), (F.col("y") + 12).alias("y1"))
+
+
+@query()
+def highlight_hits(spark, d):
+    docs, chunks = views(spark, d)
+    found = search.keyword_matches(chunks, docs, "thanedble").select("id")
+    wanted = chunks.join(found, "id", "left_semi")
+    region = F.array(F.struct(F.col("page_start").alias("page"), F.lit(40.0).alias("x0"), F.col("y").alias("y0"), (F.lit(40.0) + F.length("text") * 6).alias("x1"), (F.col("y") + 12).alias("y1")))
+    hits = highlight.highlights(wanted.select("doc_id", "id", "seq", "text", region.alias("regions")), page_lines(wanted), ["thanedble"])
+    return hits.select("doc_id", "hit_no", "chunk_id", F.size("boxes").alias("n_boxes"), F.get("boxes", F.lit(0))["page"].alias("page"), F.get("boxes", F.lit(0))["y0"].alias("y0"), "exact")
+
+
+@query(f"{WITH} SELECT doc_id, count(*) AS n_regions, sum(least(length(text), 40 + 0))::BIGINT AS n_inside FROM chunks GROUP BY doc_id")
+def page_chars_regions(spark, d):
+    _, chunks = views(spark, d)
+    chars = page_lines(chunks).select("doc_id", "page", "ord", F.posexplode(F.split("text", "")).alias("i", "c"), "x0", "y0", "y1").filter("c <> ''")
+    chars = chars.select("doc_id", "page", (F.col("x0") + F.col("i") * 6 + 3).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    regions = chunks.select("doc_id", F.col("page_start").alias("page"), F.col("y").alias("top"))
+    inside = chars.join(regions, ["doc_id", "page"]).filter("x >= 38 AND x < 40 + 40 * 6 AND y >= top - 2 AND y < top + 14")
+    n = regions.groupBy("doc_id").agg(F.count("*").alias("n_regions"))
+    return inside.groupBy("doc_id").agg(F.count("*").alias("n_inside")).join(n, "doc_id").select("doc_id", "n_regions", "n_inside")
+
+
+# ---- state
+
+EVENTS = "ev AS (SELECT event_id, user_id AS doc_id, ts, CASE event_type WHEN 'view' THEN 'done' WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'failed' WHEN 'error' THEN 'deleted' ELSE 'running' END AS op FROM events)"
+STATE = "st AS (SELECT doc_id, arg_max(op, row(ts, event_id)) AS status, max(ts) AS since, count(*) AS n_events FROM ev GROUP BY doc_id HAVING arg_max(op, row(ts, event_id)) <> 'deleted')"
+
+
+def job_events(spark, d):
+    kind = F.col("event_type")
+    op = F.when(kind == "view", "done").when(kind == "signup", "queued").when(kind == "purchase", "failed").when(kind == "error", "deleted").otherwise("running")
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), "ts", op.alias("op"), "value")
+
+
+@query(f"WITH {EVENTS}, {STATE} SELECT doc_id, status, since, n_events FROM st")
+def job_state_view(spark, d):
+    return jobs.current(job_events(spark, d))
+
+
+@query(f"WITH {EVENTS}, {STATE} SELECT doc_id, status IN ('done', 'failed') AS queued FROM st WHERE doc_id IN (SELECT c_custkey FROM customer)")
+def requeue_guard(spark, d):
+    return jobs.requeue(jobs.current(job_events(spark, d)), table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id")))
+
+
+@query(f"WITH {EVENTS}, {STATE} SELECT doc_id, CASE WHEN status IN ('done', 'failed') THEN status ELSE 'queued' END AS status FROM st")
+def restart_recovery(spark, d):
+    return jobs.recover(jobs.current(job_events(spark, d))).select("doc_id", "status")
+
+
+@query(f"{WITH} SELECT doc_id, count(*) AS n FROM chunks WHERE doc_id NOT IN (SELECT n_nationkey * 3 FROM nation) GROUP BY doc_id")
+def cascade_delete(spark, d):
+    _, chunks = views(spark, d)
+    ids = table(spark, d, "nation").select((F.col("n_nationkey") * 3).cast("bigint").alias("doc_id"))
+    return jobs.cascade_delete(chunks, ids.union(ids)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS shown FROM events")
+def progress_floor(spark, d):
+    r = table(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), F.col("event_id").alias("at"), F.col("value").alias("frac"))
+    return jobs.progress_floor(r).select("event_id", "shown")
+
+
+@query(f"WITH {EVENTS}, {STATE} SELECT event_id FROM ev WHERE op = 'done' AND doc_id IN (SELECT doc_id FROM st WHERE status = 'running')")
+def results_still_valid(spark, d):
+    e = job_events(spark, d)
+    return jobs.still_running(e.filter("op = 'done'"), jobs.current(e)).select("event_id")
+
+
+@query()
+def summary_parts(spark, d):
+    _, chunks = views(spark, d)
+    return summary.part_rows(summary.document_texts(chunks), 1500).select("doc_id", "part_no", F.length("part").alias("n"), F.md5("part").alias("digest"))
+
+
+@query("SELECT ord, line FROM (SELECT doc_id AS ord, trim(filename) AS line FROM (SELECT doc_id, '  ' || source || ' ' || lang || ' ' || left(replace(text, chr(10), ' '), doc_id::INTEGER % 50) AS filename FROM documents) WHERE length(trim(filename)) >= 30) ORDER BY ord LIMIT 3")
+def example_lines(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("  "), "source", F.lit(" "), "lang", F.lit(" "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), (F.col("doc_id") % 50).cast("int"))).alias("line"))
+    return summary.example_lines(t)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
