@@ -14,7 +14,7 @@ from ..sources.files import ALLOWED, extension, register
 def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """path, filename, content of files as they arrive."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content").filter(extension("filename").isin(*ALLOWED))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content").filter(extension("filename").isin(*ALLOWED) & ~F.col("filename").startswith("~$"))
 
 
 def ingest(stream: DataFrame, library: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
