@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import SPACE, WORD
 
 #: Epochs that a source may be repeated at most.
 MAX_EPOCHS = 3
@@ -79,5 +79,6 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     rows = mix(docs, **options).filter("taken > 0")
     rows = rows.withColumn("_words", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / _size) as int)), i -> least(_size, taken - (i - 1) * _size))")))
-    first = F.regexp_extract("text", F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_words").cast("string"), F.lit("})")), F.lit(1))
+    pieces = F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+    first = F.array_join(F.slice(pieces, 1, F.col("_words").cast("int")), "")
     return rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), first).otherwise(F.col("text"))).select(*columns)
