@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import catalog_pages
 from .functions import text as X
 from .operators import blocks, chunking, highlight, jobs, library, retrieval, search, summary
 from .plans.views import CHUNKS, DOCS, LOW, library_documents, table, views
@@ -575,6 +576,10 @@ def example_lines(spark, d):
     return summary.example_lines(t)
 
 
+QUERIES |= catalog_pages.QUERIES
+SQL |= catalog_pages.SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
