@@ -43,8 +43,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     share = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
     per = per.withColumn("_share", share).withColumn("_full", F.col("_share") * F.col("_weight") >= F.col("_cap"))
-    last = F.max(F.when(~F.col("_full"), -F.col("_share"))).over(everything)  # the shares rise; the first open one holds for all open ones
-    return per.select("_source", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(-last * F.col("_weight")).alias("target"), "_rows")
+    open_share = F.max(F.when(~F.col("_full"), F.col("_share"))).over(everything)  # that of the first open source, as later ones subtract caps that don't bind
+    return per.select("_source", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(open_share * F.col("_weight")).alias("target"), "_rows")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:

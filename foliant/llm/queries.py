@@ -43,7 +43,7 @@ r AS (SELECT *, 3.0 * source_size AS cap, 3.0 * source_size / w AS ratio FROM s)
 q AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS share FROM r
       WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, CASE WHEN share * w >= cap THEN cap::DOUBLE
-             ELSE (min(CASE WHEN share * w < cap THEN share END) OVER ()) * w END AS target FROM q),
+             ELSE (max(CASE WHEN share * w < cap THEN share END) OVER ()) * w END AS target FROM q),
 a AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS budget,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

@@ -90,6 +90,16 @@ def brute_mix(rows):
     return sorted((i, n, total[s], round(target[s], 6), taken[i]) for i, s, n in sizes)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_equal_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{int(s)}") for i, s in enumerate(rng.zipf(1.5, 200).clip(max=int(rng.integers(3, 14))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r._size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(docs).collect())
+    assert got == brute_mix(rows)
+    assert sum({r[2]: r[3] for r in got}.values()) > 0 and all(0 <= t <= 3 * n for _, n, _, _, t in got)
+
+
 def test_mix_equals_brute_force(spark):
     rows = [(i, " ".join(["w"] * (i * 7 % 50)), s) for i, s in enumerate(["big"] * 300 + ["a"] * 5 + ["z"] * 2 + ["é"] * 40 + [None] * 3)] + [(1000, None, "void")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, taken string").repartition(5)
