@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES
+from .common import SPACE_BYTES, spare
 
 #: Bytes that a map task's tries may hold before subtrees are spilled.
 TRIE_BYTES = 48 << 20
@@ -201,8 +201,10 @@ def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with all its columns, without the rows that exact_dedup drops and without repeats of a survivor's row."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_of"))
-    keyed = docs.withColumn("_sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE_BYTES.decode(), ""), 256)).withColumn("_points", F.length(F.coalesce("text", F.lit(""))))
-    stays = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of")), "left_semi")
-    longest = Window.partitionBy("doc_id", "_sha").orderBy(F.desc("_points"))
-    return stays.withColumn("_nth", F.row_number().over(longest)).filter("_nth = 1").drop("_sha", "_points", "_nth")
+    own, of, sha, points, nth = (spare(n, docs) for n in ("_id", "_of", "_sha", "_points", "_nth"))
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(of))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({sha: F.sha2(F.translate(text, SPACE_BYTES.decode(), ""), 256), points: F.length(text)})
+    stays = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(sha) == F.col(of)), "left_semi")
+    longest = Window.partitionBy("doc_id", sha).orderBy(F.desc(points))
+    return stays.withColumn(nth, F.row_number().over(longest)).filter(F.col(nth) == 1).select(*docs.columns)

@@ -48,14 +48,14 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs with _size, source_size, target and taken: the words that the mix takes of each row, repeats counted.
+    """doc_id, text, source, _size, source_size, target and taken: the words that the mix takes of each row, repeats counted.
 
     The words taken of a source sum to its rounded target: the row at the cut is taken in part.
     Keys are md5(seed:doc_id), so that reruns agree; ties go by doc_id, size and text, and rows alike in
-    all of these are interchangeable. Null sources form a source of their own, which comes last.
+    all of these are interchangeable. Other columns are not read (mixed_rows carries them). Null sources form a source of their own, which comes last.
     Rows without words are taken with 0. An empty table gives an empty result.
     """
-    sized = with_sizes(docs).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    sized = with_sizes(docs.select("doc_id", "text", "source", *(["_rest"] if "_rest" in docs.columns else []))).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     targets = source_targets(sized.select("source", "_size"), weights, max_epochs)
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["_source"]))
     # 12 hex digits of the key make a fraction of [0, 1); its range decides the bucket
@@ -76,9 +76,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each row as often as it is taken whole, and a row at a cut once more with just its first words."""
-    columns = docs.columns
-    rows = mix(docs, **options).filter("taken > 0")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    packed = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in rest] or [F.lit(0)]).alias("_rest"))
+    rows = mix(packed, **options).filter("taken > 0")
     rows = rows.withColumn("_words", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / _size) as int)), i -> least(_size, taken - (i - 1) * _size))")))
     pieces = F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))
     first = F.array_join(F.slice(pieces, 1, F.col("_words").cast("int")), "")
-    return rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), first).otherwise(F.col("text"))).select(*columns)
+    whole = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), first).otherwise(F.col("text")))
+    return whole.select(*[F.col("_rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])

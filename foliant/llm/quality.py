@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 #: Labelled and unlabelled rows of the samples; words that the text view may weigh; rounds of exchange, and rows that a view gives for each side and round.
 LABELLED, UNLABELLED, FEATURES, ROUNDS, EXCHANGED = 6000, 3000, 3000, 3, 150
 #: Share of good calibration rows that may fall under the threshold.
@@ -105,11 +107,13 @@ def sigmoid(z):
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 200) -> np.ndarray:
     """Weights and a last one for the constant; balanced classes; Adam on the full sample."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    if not len(x):
+        return np.zeros(x.shape[1] + 1)
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     share = np.where(y > 0, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())) / len(y)
     for t in range(1, steps + 1):
-        g = (share * (sigmoid(x @ w) - y)) @ x + decay * w
+        g = (share * (sigmoid(x @ w.astype(np.float32)) - y)).astype(np.float32) @ x + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -261,5 +265,6 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_refused(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs with all its columns, without the rows that the classifier refuses."""
-    refused = classify(docs, labels, **options).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(refused, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    own = spare("_id", docs)
+    refused = classify(docs, labels, **options).filter("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(refused, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
