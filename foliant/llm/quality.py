@@ -1,11 +1,11 @@
 """Quality classifier by co-training of two views of a document.
 
-The text view has the words (without punctuation at their ends) and the punctuation at their
-ends; the metadata view has language, source and figures of the page's shape. Each view's
+The text view has the words (without punctuation at their ends), their stems and the
+punctuation at their ends; the metadata view has language, source and figures of the page's shape. Each view's
 logistic regression is trained on labelled rows; for some rounds each labels the unlabelled
 rows that it is most sure of for the other. On held-back labelled rows the views' scores are
-calibrated and combined; the threshold lies a quarter of the way from the least good scores to
-the middle of the bad ones.
+calibrated and combined; the threshold is the one of least cost, a refused good row counting
+ten times a missed bad one.
 There are two verdicts, low quality and toxicity; a document is kept if neither holds.
 Training uses bounded samples; every document is scored, by its whole text.
 """
@@ -27,20 +27,25 @@ from .common import spare
 
 #: Labelled and unlabelled rows of the samples; words that the text view may weigh; rounds of exchange, and rows that a view gives for each side and round.
 LABELLED, UNLABELLED, FEATURES, ROUNDS, EXCHANGED = 6000, 3000, 3000, 3, 150
-#: Share of good calibration rows that may fall under the threshold.
-REFUSED = 0.002
+#: Least log-odds of a word, in units of their error.
+LEAST_Z = 3.0
+#: How many missed bad rows weigh as much as one refused good row, each as a share of its class.
+REFUSAL_COST = 10
 HEADS = ("quality", "toxic")
 TAIL = re.compile(rb"[!-/:-@\[-`{-~]+$")
 EDGE = b"".join(bytes([c]) for c in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+STEM = 5
 BUCKETS = 32  # of hashed languages and sources
 SHAPE = 14
 
 
-def feature_hashes(word: str) -> tuple[int, int]:
+def feature_hashes(word: str) -> tuple[int, int, int]:
+    """Of the bare word, of the marks at its end, and of its stem, a long word's first letters (0: none)."""
     raw = word.encode("utf-8", "surrogatepass")
     tail = TAIL.search(raw)
     bare = raw.strip(EDGE)
-    return xxhash.xxh3_64_intdigest(bare), xxhash.xxh3_64_intdigest(b"\0" + tail[0][-4:]) if tail else 0
+    stem = bare.decode("utf-8", "surrogatepass")[:STEM]
+    return xxhash.xxh3_64_intdigest(bare), xxhash.xxh3_64_intdigest(b"\0" + tail[0][-4:]) if tail else 0, xxhash.xxh3_64_intdigest(f"\1{stem}".encode("utf-8", "surrogatepass")) if len(stem) == STEM else 0
 
 
 class Words:
@@ -50,7 +55,7 @@ class Words:
         self.known, self.most = {}, most
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, feature hash) of each word and word end, and the number of words of each document."""
+        """(document, feature hash) of each word, word end and stem, and the number of words of each document."""
         tokens = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         flat = tokens.flatten().dictionary_encode()
         names = flat.dictionary.to_pylist()
@@ -59,13 +64,12 @@ class Words:
         for w in names:
             if w not in self.known:
                 self.known[w] = feature_hashes(w)
-        table = np.array([self.known[w] for w in names], np.uint64).reshape(-1, 2)
+        table = np.array([self.known[w] for w in names], np.uint64).reshape(-1, 3)
         doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(tokens.offsets)))
         codes = np.asarray(flat.indices).astype(np.int64)
         pairs = np.unique(doc * max(1, len(names)) + codes)
         doc_of, code = pairs // max(1, len(names)), pairs % max(1, len(names))
-        both = np.concatenate([table[code, 0], table[code, 1]])
-        return np.concatenate([doc_of, doc_of]), both, np.bincount(doc_of, minlength=len(texts)) / np.maximum(1, np.bincount(doc, minlength=len(texts)))
+        return np.tile(doc_of, 3), np.concatenate([table[code, i] for i in range(3)]), np.bincount(doc_of, minlength=len(texts)) / np.maximum(1, np.bincount(doc, minlength=len(texts)))
 
 
 def shape_of(text: str, distinct: float) -> list[float]:
@@ -152,7 +156,7 @@ def chosen_words(lists: list[np.ndarray], y: np.ndarray, features: int) -> np.nd
     odds = np.log((n[1] + 0.5) / (size[1] + 1)) - np.log((n[0] + 0.5) / (size[0] + 1))
     z = np.abs(odds) / np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
     best = np.lexsort((every, -z))[:features]
-    return np.sort(every[best[(z[best] > 3) & (every[best] != 0)]])
+    return np.sort(every[best[(z[best] > LEAST_Z) & (every[best] != 0)]])
 
 
 def present(lists: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
@@ -192,8 +196,10 @@ def co_train(words: list[np.ndarray], meta: np.ndarray, y: np.ndarray, features:
     good, bad = np.sort(score[y[tune] == 1]), score[y[tune] == 0]
     if not len(good) or not len(bad):  # nothing to tell apart
         return Head(hashes, fitted["text"], fitted["meta"], joint, -np.inf)
-    least = good[int(len(good) * REFUSED)]
-    return Head(hashes, fitted["text"], fitted["meta"], joint, float(least - 0.25 * max(0.0, least - np.median(bad))))
+    at = np.sort(score)
+    cuts = (at[1:] + at[:-1]) / 2
+    cost = REFUSAL_COST * np.searchsorted(good, cuts) / len(good) + (bad[None, :] >= cuts[:, None]).mean(axis=1)
+    return Head(hashes, fitted["text"], fitted["meta"], joint, float(cuts[np.argmin(cost)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Classifier:
