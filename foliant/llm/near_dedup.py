@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64
+from .common import cut, mix64, spare
 from .graph import Forest, components
 
 #: Words of a shingle, per cent of similarity, values of a sketch.
 WORDS, PERCENT, K = 5, 75, 64
 #: Members of a list that still gives single pairs; members of a block.
 SHORT_LIST, BLOCK = 24, 512
+#: Size of the bitmap that says which documents' full sets are needed.
+BITS = 1 << 22
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -91,11 +93,14 @@ def sketched(words: int, k: int):
     return run
 
 
-def full_sets(words: int):
+def full_sets(words: int, marked):
+    """node, set of the rows whose bit is marked; the columns are id, text, bit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 1024):
-                b = batch.slice(i, 1024)
+            some = batch.filter(pa.array(marked.value[batch.column(2).to_numpy()]))
+            for i in range(0, len(some), 1024):
+                b = some.slice(i, 1024)
                 yield pa.record_batch([b.column(0), lists_of(list(shingle_sets(b.column(1), words)))], names=["node", "set"])
 
     return run
@@ -166,8 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     short = cut(short_pairs(lists.filter(f"members <= {short_list}"), percent))
     long = cut(blocks(lists.filter(f"members > {short_list}"), block))
     wanted = short.select(F.col("a").alias("node")).union(short.select("b")).union(long.select("node")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    sets = cut(texts.join(wanted, "node", "left_semi").mapInArrow(full_sets(words), "node long, set array<long>"))
+    sets = cut(sets_of(docs, wanted, words))
     links = verified(short, sets, k, percent, c).union(block_pairs(long, sets, k, percent, c))
     labels = components(links)
     named = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("_component"))
@@ -179,6 +183,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     )
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, bits: int = BITS) -> DataFrame:
+    """node, set of the wanted documents, and of some that share a bit with one; the joins that follow pass over these.
+
+    A bitmap of fixed size goes to all tasks, so that texts are read where they are and not shuffled.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
+    marked = np.zeros(bits, bool)
+    marked[wanted.select(bit("node").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # at most `bits` numbers
+    held = docs.sparkSession.sparkContext.broadcast(marked)
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(full_sets(words, held), "node long, set array<long>")
+
+
 def prefix_lists(classes: DataFrame, k: int, percent: int, c: int) -> DataFrame:
     """value, node, n, before (the node's prefix values ahead of this one), members (length of the value's list)."""
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
@@ -240,5 +256,6 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, c: int) ->
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
     """docs with all its columns, one row of each class of near-duplicates: the smallest doc_id."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    own = spare("_id", docs)
+    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
