@@ -1,11 +1,11 @@
 """Language-model scores of documents: a word-unigram base and prediction by partial matching.
 
-The trie's counts come from all training texts: each task counts the grams of its texts, Spark
-sums them, and lower orders are sums of the highest one. The model that is broadcast has at
-most `grams` entries per order, by a threshold on counts; the counts of grams below it stay in
-their contexts' totals, as escape. Word counts aren't broadcast, as words have no bound:
-documents are dealt into parts of bounded size, each part asks for the counts of its own
-distinct words, and is scored beside the answer.
+The counts come from all training texts and none is left out, so they grow with the corpus and
+stay distributed. Documents are dealt into parts of bounded size; each part counts its own
+distinct words and grams of the highest order, held-out texts' with 0, and Spark sums the
+counts over the parts. Lower orders are sums of the highest one, so that the shorter form of
+every gram is at hand. The probability of each gram is worked out by joins and windows of at
+most 256 rows to a key, and each part is scored beside the answers for what it asked.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from . import ppm
 from .common import cut
 
-#: Bytes of context; entries of the trie per order; text bytes of a part; held-out documents: 1 in FOLDS.
-ORDER, GRAMS, PART_BYTES, FOLDS = 5, 1_500_000, 16 << 20, 10
+#: Bytes of context; text bytes of a part; held-out documents: 1 in FOLDS.
+ORDER, PART_BYTES, FOLDS = 5, 16 << 20, 10
 #: Prior of the word model.
 ALPHA = 0.1
 END = b"\n"
@@ -39,111 +40,132 @@ def hash_of(word: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
 
 
-def count_grams(order: int):
+class Sums:
+    """Counts by key, as arrays."""
+
+    def __init__(self):
+        self.held, self.size, self.most = [], 0, 1_000_000
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((keys, counts))
+        self.size += len(keys)
+        if self.size > self.most:
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+            self.most = 1_000_000 + self.size
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(x) for x in zip(*self.held))
+        at = np.argsort(keys, kind="stable")  # runs in order are merged
+        keys = keys[at]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[starts], np.add.reduceat(counts[at], starts)
+
+
+def count_part(order: int):
+    """part, whether a gram, gram or word hash, occurrences in training texts, for each distinct word and gram of a part, held-out texts' too."""
+
+    def counted(part: int, words: Sums, grams: Sums) -> Iterator[pa.RecordBatch]:
+        for is_gram, sums in ((False, words), (True, grams)):
+            keys, counts = sums.merged()
+            yield pa.record_batch([pa.array(np.full(len(keys), part, np.int64)), pa.array(np.full(len(keys), is_gram)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["part", "is_gram", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged():
-            keys, counts = (np.concatenate(x) for x in zip(*held))
-            keys, which = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(which, counts, len(keys)).astype(np.int64)
-
-        for batch in batches:
-            for i in range(0, len(batch), 1024):
-                texts = [b" ".join(words_of(t)) for t in batch.column(0).slice(i, 1024).to_pylist()]
-                held.append(ppm.gram_counts(texts, order))
-            if sum(len(k) for k, _ in held) > 3_000_000:
-                held = [merged()]
-                if len(held[0][0]) > 2_000_000:  # partial sums; Spark adds them up
-                    yield pa.record_batch([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["gram", "n"])
-                    held = []
-        if held:
-            keys, counts = merged()
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+        """Rows come in order of part, so that one part is held at a time."""
+        part, words, grams = None, Sums(), Sums()
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                some = b.slice(i, 1024)
+                for (own, held_out), rows in groupby(zip(*(c.to_pylist() for c in some.columns)), lambda r: (r[0], r[2])):
+                    if own != part:
+                        if part is not None:
+                            yield from counted(part, words, grams)
+                        part, words, grams = own, Sums(), Sums()
+                    split = [words_of(t) for _, t, _ in rows]
+                    seen = Counter({END: len(split)})
+                    for ws in split:
+                        seen.update(ws)
+                    keys = np.fromiter(map(hash_of, seen), np.int64, len(seen))
+                    counts = np.fromiter(seen.values(), np.int64, len(seen))
+                    at = np.argsort(keys)
+                    words.add(keys[at], counts[at] * (not held_out))
+                    keys, counts = ppm.gram_counts([b" ".join(ws) for ws in split], order)
+                    grams.add(keys, counts * (not held_out))
+        if part is not None:
+            yield from counted(part, words, grams)
 
     return run
 
 
-def train(texts: DataFrame, order: int = ORDER, grams: int = GRAMS) -> ppm.Model:
-    """The model of a one-column DataFrame of texts. Its size is bounded by `grams` per order, its counts cover all texts."""
-    counts = cut(texts.mapInArrow(count_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    tables = []
+def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """grams: key (of order `order`), n (0 if only held-out texts have it) -> key, p, as the module ppm describes it.
+
+    A context's symbols are all known after the shorter context too, so what a longer context
+    excludes there is a sum of plain shares.
+    """
+    known = None
     for o in range(order + 1):
-        own = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (o + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if o > 2:
-            sizes = {r[0]: r[1] for r in own.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()}  # 64 rows at most
-            power = int(o == order)
-            while sum(c for p, c in sizes.items() if p >= power) > grams:
-                power += 1
-        else:
-            power = 0
-        totals = own.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"))
-        kept = own.filter(F.col("n") >= 2**power).withColumn("context", F.shiftright("gram", 8)).join(totals, "context").select("gram", "n", "total").toArrow()
-        keys = kept["gram"].to_numpy().view(np.uint64)
-        at = np.argsort(keys)
-        tables.append((keys[at], kept["n"].to_numpy()[at].astype(np.float64), kept["total"].to_numpy()[at].astype(np.float64)))
-    return ppm.Model(tables)
-
-
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """part, word hash, occurrences in training texts, for each distinct word of a part, held-out texts' words too."""
-    parts: dict[int, Counter] = {}
-    for b in batches:
-        for part, text, held_out in zip(*(c.to_pylist() for c in b.columns)):
-            seen = parts.setdefault(part, Counter())
-            if held_out:
-                seen.update(dict.fromkeys([*words_of(text), END], 0))
-            else:
-                seen.update(words_of(text))
-                seen[END] += 1
-    for part, seen in parts.items():
-        yield pa.record_batch([pa.array(np.full(len(seen), part, np.int64)), pa.array([hash_of(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["part", "word", "n"])
+        short = lambda width: F.col("key").bitwiseAND(F.lit((1 << (8 * width)) - 1))
+        own = grams if o == order else grams.groupBy(short(o + 1).alias("key")).agg(F.sum("n").alias("n"))
+        own = own.withColumn("short", short(o)).join(known, "short") if o else own.withColumn("lower", F.lit(1 / 256))
+        after = Window.partitionBy("context")
+        own = own.withColumn("context", F.shiftrightunsigned("key", 8)).select(
+            "key", "n", "lower", F.sum("n").over(after).alias("total"), F.count_if(F.col("n") > 0).over(after).alias("symbols"), F.sum(F.when(F.col("n") > 0, F.col("lower")).otherwise(0.0)).over(after).alias("excluded")
+        )
+        escape = 0.5 * F.col("symbols") / F.col("total") / F.greatest(1 - F.col("excluded"), F.lit(1e-12))
+        p = F.when(F.col("n") > 0, (F.col("n") - 0.5) / F.col("total")).when(F.col("total") > 0, escape * F.col("lower")).otherwise(F.col("lower"))
+        known = own.select(F.col("key").alias("short"), p.alias("lower"))
+    return known.select(F.col("short").alias("key"), F.col("lower").alias("p"))
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_part(model, train_tokens: int, train_words: int):
+def score_part(order: int, train_tokens: int, train_words: int):
     floor = math.log10(train_tokens + ALPHA * (train_words + 1))
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(hashes := known["word"].to_numpy(), kind="stable")
-        hashes, counts = hashes[order], known["total"].to_numpy()[order]
-        memo: dict[bytes, tuple[float, int]] = {}
+        is_gram = known["is_gram"].to_numpy()
+        keys, values = known["key"].to_numpy(), known["value"].to_numpy()
+        grams = ppm.Table(keys[is_gram].view(np.uint64), values[is_gram])
+        hashes, counts = keys[~is_gram], values[~is_gram]
+        at = np.argsort(hashes, kind="stable")
+        hashes, counts = hashes[at], counts[at]
         out = []
-        for i in range(0, len(docs), 256):
-            some = docs.slice(i, 256)
+        for i in range(0, len(docs), 1024):
+            some = docs.slice(i, 1024)
             split = [[*words_of(t), END] for t in some["text"].to_pylist()]
-            new = list({w for ws in split for w in ws if w not in memo})
-            c = counts[np.searchsorted(hashes, np.fromiter(map(hash_of, new), np.int64, len(new)))]
-            memo |= zip(new, zip(np.log10(c + ALPHA).tolist(), (c > 0).astype(int).tolist()))
-            score = ppm.scores(model.value, [b" ".join(ws[:-1]) for ws in split])
+            own = list({w for ws in split for w in ws})
+            c = counts[np.searchsorted(hashes, np.fromiter(map(hash_of, own), np.int64, len(own)))]
+            log, known_words = dict(zip(own, np.log10(c + ALPHA).tolist())), {w for w, n in zip(own, c.tolist()) if n}
+            score = ppm.sums(lambda k: grams.find(k)[1], order, [b" ".join(ws[:-1]) for ws in split])
             for doc_id, held_out, ws, s in zip(some["doc_id"].to_pylist(), some["held_out"].to_pylist(), split, score.tolist()):
-                logs, hits = zip(*[memo[w] for w in ws])
-                out.append((doc_id, held_out, len(ws), sum(hits), train_tokens, math.fsum(logs) - len(ws) * floor, s))
+                out.append((doc_id, held_out, len(ws), sum(map(known_words.__contains__, ws)), train_tokens, math.fsum(map(log.__getitem__, ws)) - len(ws) * floor, s))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), SCORES.types)], schema=SCORES) if out else SCORES.empty_table()
 
     return run
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, grams: int = GRAMS, part_bytes: int = PART_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id as text) mod 10 is not 0 (a null id counts as the
     empty text, so it is held out). Null and empty texts are one end. Words are told apart by
-    64-bit hashes. Both models score the lowered words, with one space between, and the end.
+    64-bit hashes. Both models score the lowered words, with one space between, and the end;
+    both know every word or gram of the training texts, whatever its count.
     If there is no training text, every count is 0. Other columns are not read; rows that
     repeat count each; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0).alias("held_out"))
-    model = spark.sparkContext.broadcast(train(rows.filter("NOT held_out").select("text"), order, grams))
     text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-text_bytes // part_bytes))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)))
-    asked = dealt.select("part", "text", "held_out").repartition("part").mapInArrow(count_words, "part long, word long, n long")
-    everywhere = Window.partitionBy("word")
-    known = cut(asked.select("part", "word", F.sum("n").over(everywhere).alias("total"), (F.row_number().over(everywhere.orderBy("part")) == 1).alias("first")))
-    tokens, words = known.filter("first").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
-    both = dealt.groupBy("part").cogroup(known.select("part", "word", "total").groupBy("part"))
-    return both.applyInArrow(score_part(model, tokens, words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = dealt.select("part", "text", "held_out").repartition("part").sortWithinPartitions("part", "held_out").mapInArrow(count_part(order), "part long, is_gram boolean, key long, n long")
+    everywhere = Window.partitionBy("key", "is_gram")
+    known = cut(asked.select("part", "is_gram", "key", F.sum("n").over(everywhere).alias("total"), (F.row_number().over(everywhere.orderBy("part")) == 1).alias("first")))
+    tokens, words = known.filter("first AND NOT is_gram").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
+    grams = cut(known.filter("first AND is_gram").select("key", F.col("total").alias("n")))
+    answers = known.filter("NOT is_gram").select("part", "is_gram", "key", F.col("total").cast("double").alias("value"))
+    answers = answers.union(known.filter("is_gram").select("part", "is_gram", "key").join(probabilities(grams, order).hint("shuffle_hash"), "key").select("part", "is_gram", "key", F.log10("p")))
+    both = dealt.groupBy("part").cogroup(answers.groupBy("part"))
+    return both.applyInArrow(score_part(order, tokens, words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

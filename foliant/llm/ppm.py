@@ -116,19 +116,23 @@ def framed(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return data, ends
 
 
-def scores(model: Model, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text and its end."""
-    k = model.order
+def sums(log10, k: int, texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each text and its end; log10: of an array of grams of order k."""
     data, ends = framed(texts, k)
     keys = rolling(data, k + 1)
     cost = np.zeros(len(data), np.float64)
     for i in range(0, len(keys), 1 << 18):
-        cost[k + i : k + i + (1 << 18)] = model.log10(keys[i : i + (1 << 18)], k)
+        cost[k + i : k + i + (1 << 18)] = log10(keys[i : i + (1 << 18)])
     starts = np.concatenate([[0], ends[:-1]])
     total = np.concatenate([[0.0], np.cumsum(cost)])
     return total[ends] - total[np.minimum(starts + k, ends)]
 
 
+def scores(model: Model, texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each text and its end."""
+    return sums(lambda keys: model.log10(keys, model.order), model.order, texts)
+
+
 def gram_counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of the highest order with their counts."""
     data, ends = framed(texts, order)

@@ -172,3 +172,23 @@ def test_base_scores(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in c for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
         assert r.score < 0
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_scores_know_every_gram(spark, order):
+    """Against the plain form with all counts, grams that occur once among them."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    docs = [(i, " ".join(words[(i * j + j * j) % 8] for j in range(i % 9)) + f" once{i}") for i in range(40)] + [(100, None), (102, "zebra \u00ff")]
+    got = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), order, part_bytes=200).collect()}
+    plain = {i: b" ".join(lm_scoring.words_of(t)) for i, t in docs}
+    keys, counts = ppm.gram_counts([t for i, t in plain.items() if not got[i].held_out], order)
+    assert (counts == 1).any()
+    grams = []
+    for o in range(order + 1):
+        own, which = np.unique(keys & np.uint64((1 << (8 * (o + 1))) - 1), return_inverse=True)
+        n = np.bincount(which, counts)
+        _, at = np.unique(own >> np.uint64(8), return_inverse=True)
+        grams.append((own, n, np.bincount(at, n)[at]))
+    assert any(r.held_out for r in got.values())
+    for i, t in plain.items():
+        assert got[i].score == pytest.approx(plain_ppm(grams, order, t), rel=1e-4)
