@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -31,6 +33,24 @@ def test_random_strings(tokens):
     assert secrets.find_secrets(None, tokens) == [] == secrets.find_secrets("", tokens)
 
 
+def test_random_strings_in_runs(tokens):
+    runs = lambda t: [t[a:b] for a, b, k in secrets.find_secrets(t, tokens) if k == "random"]
+    rng = random.Random(7)
+    path = "/services/integration/callback/production/"
+    for n in (20, 24, 32, 40):
+        for _ in range(50):
+            letters = "".join(rng.choices(string.ascii_letters, k=n))
+            assert runs(f"key {letters} end") == [letters]  # no digit is needed
+            mixed = "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+            assert any(mixed in r for r in runs(f"{path}{mixed} {path}{mixed}/management/configuration"))
+    assert runs(f"{path}{path}xK9vQ2mZ7pL4wR8tY1bN5cD3/management") == ["xK9vQ2mZ7pL4wR8tY1bN5cD3"]
+    assert runs(f"{path}{path}xK9vQ2mZ7pL4-wR8tY1bN5cD3/management") == ["xK9vQ2mZ7pL4-wR8tY1bN5cD3"]  # a separator inside
+    assert runs("aB3x-9Kq2-Zt7L-mN4p-Qr8s") == ["aB3x-9Kq2-Zt7L-mN4p-Qr8s"]  # groups of four are no version
+    assert runs(f"v1-2-3-4-5-6-7-8-9-10-rc1 2024-01-02T03-04-05Z {path}550E8400-E29B-41D4-A716-446655440000 {path}management/configuration") == []
+    assert [(k, "0123456789abcdef/xK9vQ2mZ7pL4wR8tY1bN5cD3"[a:b]) for a, b, k in secrets.find_secrets("0123456789abcdef/xK9vQ2mZ7pL4wR8tY1bN5cD3", tokens)] == [("hex", "0123456789abcdef"), ("random", "xK9vQ2mZ7pL4wR8tY1bN5cD3")]
+    assert runs(path * 2000) == []
+
+
 def test_scan_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "token: abcdefghijklmnop " * 3000, "s"), (None, "x", "s")], "doc_id long, text string, spans string")
     rows = {r.doc_id: r.spans for r in secrets.scan_secrets(docs, tokenizer_path("byte_bpe_50k.tiktoken")).collect()}
