@@ -161,8 +161,7 @@ def hybrid_service(spark, d):
     from .sources.providers import HashEmbedder, embedded
 
     docs, chunks = views(spark, d)
-    units = chunks.filter("kind = 'table'")
-    lib = service.Library(docs, units, embedded(units, HashEmbedder()), HashEmbedder(), semantic=True)
+    lib = service.Library(docs, chunks, embedded(chunks, HashEmbedder()), HashEmbedder(), semantic=True)
     return lib.search("thanedble the", "hybrid")[0]
 
 

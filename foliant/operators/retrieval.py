@@ -46,12 +46,13 @@ def ranked(rows: DataFrame, *order) -> DataFrame:
 
 
 def cosine_neighbours(vectors: DataFrame, query: list[float], top: int = TOP) -> DataFrame:
-    """vectors: id, v -> id, distance (1 - cosine), rank; the query is a literal, so this is one scan and a top-k."""
+    """vectors: id, v -> id, distance (1 - cosine), rank; the query is a literal, so this is one scan and a top-k. A zero vector has no distance and comes last."""
     q = F.array(*[F.lit(float(x)) for x in query])
     dot = F.aggregate(F.zip_with("v", q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
     own = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = vectors.select("id", (F.round(1 - dot / (own * F.lit(math.sqrt(sum(x * x for x in query)))), 6) + F.lit(0.0)).alias("distance"))
-    return ranked(rows.orderBy("distance", "id").limit(top), "distance", "id")
+    rows = vectors.select("id", (F.round(1 - F.try_divide(dot, own * F.lit(math.sqrt(sum(x * x for x in query)))), 6) + F.lit(0.0)).alias("distance"))
+    order = F.col("distance").asc_nulls_last(), F.col("id")
+    return ranked(rows.orderBy(*order).limit(top), *order)
 
 
 def fused(first: DataFrame, second: DataFrame) -> DataFrame:

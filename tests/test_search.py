@@ -2,8 +2,10 @@
 
 import pytest
 
+from foliant import catalog
 from foliant.functions import text as X
-from foliant.operators import search
+from foliant.operators import retrieval, search
+from foliant.sources.providers import HashEmbedder
 
 DOCS = "id long, filename string, status string"
 CHUNKS = "id long, doc_id long, seq int, page_start int, heading string, text string"
@@ -79,3 +81,18 @@ def test_snippets_and_marks(spark):
     assert df.select(X.snippet("t", ["needle"])).first()[0].startswith("…x x x")
     assert df.select(X.marked("t", ["needle"])).first()[0].endswith("<mark>Needle</mark> &lt;b&gt; | \n end")
     assert X.terms_of("  A b　a B ") == ["a", "b"]
+
+
+def test_hybrid_service_sees_every_passage(spark, tmp_path):
+    words = [f"w{i}" for i in range(200)]
+    opposed = next(f"{a} {b}" for a in words for b in words if not any(HashEmbedder().embed([f"{a} {b}"])[0]))
+    texts = {0: "thanedble the", 1: f"{opposed}\nthe thanedble again", 2: "nothing of it", 3: "a | thanedble | table"}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.queries()["hybrid_service"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.doc_id for r in rows][0] == 1 and {r.doc_id for r in rows} == {1, 2, 3, 4}  # ids from 1 on; every passage is among the nearest hundred
+    assert {r.doc_id: r.chunk_count for r in rows} == {1: 1, 2: 2, 3: 1, 4: 1}
+
+
+def test_zero_vectors_come_last(spark):
+    vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [-1.0, 0.0]), (3, [1.0, 0.0])], "id long, v array<float>")
+    assert [(r.id, r.distance) for r in retrieval.cosine_neighbours(vectors, [1.0, 0.0]).orderBy("rank").collect()] == [(3, 0.0), (2, 2.0), (1, None)]
