@@ -23,8 +23,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare
-
 #: Labelled and unlabelled rows of the samples; words that the text view may weigh; rounds of exchange, and rows that a view gives for each side and round.
 LABELLED, UNLABELLED, FEATURES, ROUNDS, EXCHANGED = 6000, 3000, 3000, 3, 150
 #: Least log-odds of a word, in units of their error.
@@ -269,8 +267,26 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     )
 
 
+def keep(model, at: list[int]):
+    """Rows that both verdicts keep, with all their columns; at: places of doc_id, text, lang and source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, len(b), 512):
+                    held.append(b.slice(i, 512))
+                    yield pa.record_batch([held[-1].column(j) for j in at], names=["doc_id", "text", "lang", "source"])
+
+        for verdict in apply_to(model)(asked()):  # one for each slice
+            yield held.pop().filter(pc.and_(*(verdict.column(f"{h}_ok") for h in HEADS)))
+
+    return run
+
+
 def drop_refused(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs with all its columns, without the rows that the classifier refuses."""
-    own = spare("_id", docs)
-    refused = classify(docs, labels, **options).filter("NOT kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(refused, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+    """docs with all its columns, without the rows that the classifier refuses; each row by its own verdict, whatever its id."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+    names = [c.lower() for c in docs.columns]
+    return docs.mapInArrow(keep(model, [names.index(c) for c in ("doc_id", "text", "lang", "source")]), docs.schema)

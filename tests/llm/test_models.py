@@ -69,6 +69,19 @@ def test_classifier_of_odd_rows(spark):
     assert quality.drop_refused(docs, none).columns == docs.columns
 
 
+def test_rows_are_dropped_by_their_own_verdict(spark):
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choices([f"w{i}" for i in range(900)], k=60))
+    bad = lambda: " ".join(f"{w}%%%" for w in good().split())
+    rows = [(i, good() if i < 200 else bad(), "en", "s", "x") for i in range(240)]
+    rows += [(i, t(), "en", "s", f"{i} {t is good}") for i in (None, 9000) for t in (good, bad)]  # a null id and a shared one
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mark string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    kept = quality.drop_refused(docs, labels)
+    assert kept.schema == docs.schema
+    assert sorted(r.mark for r in kept.collect()) == ["9000 True", "None True", *["x"] * 200]
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(900)]
