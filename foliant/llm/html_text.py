@@ -2,14 +2,19 @@
 
 A tree builder makes elements of the parser's events, adding the end tags that HTML lets
 authors leave out. A renderer walks the tree without recursion, leaves out what a browser
-wouldn't show (by element, attribute, inline style and the simple rules of the page's own
-style sheets) and writes all other text: blocks on lines of their own, paragraphs and headings
-apart, list items with their markers, table cells in aligned columns, preformatted text as is.
+wouldn't show (by element, attribute, inline style and the rules for tags, classes and ids of
+the page's own style sheets, in the order of the cascade; visibility is inherited) and writes
+all other text: blocks on lines of their own, paragraphs and headings apart, list items with
+their markers, table cells in aligned columns, preformatted text as is. Rules with other
+selectors and media queries that ask for more than a screen are left alone; closed details and
+the options of a select are written, as a click shows them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,7 +23,12 @@ from pyspark.sql import DataFrame
 
 # fixed sets of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist audio video canvas iframe object svg math param source track area map col colgroup noframes".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist audio video canvas iframe object param source track area map col colgroup noframes progress meter".split())
+UNSEEN_IN_SVG = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+UNSEEN_IN_MATH = frozenset("annotation annotation-xml".split())
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: Inputs that show no text.
+BLIND = frozenset("hidden password checkbox radio file image color range".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset form hr".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body caption center dd details dialog dir div dt fieldset figcaption footer header hgroup html legend li main menu nav option section summary tbody td tfoot th thead tr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul dd dt".split())
@@ -39,9 +49,12 @@ ENDS = {
 }
 #: A p's end is looked for up to these.
 SCOPE = frozenset("table td th caption html body button object template".split())
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?", re.I)
+TABLE = ("table", "tr", "tbody", "thead", "tfoot", "td", "th")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+QUOTED = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""", re.S)
+COMPOUND = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)", re.I)
+PART = re.compile(r"([.#])([\w-]+)")
+BRACE = re.compile(r"[{};]")
 BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -53,67 +66,156 @@ class Element:
 
 
 class TreeBuilder(HTMLParser):
+    """Keeps, beside the stack of open elements, the places of each tag in it, so that depth costs nothing."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)
         self.styles: list[str] = []
 
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.open) > place:
+            self.at[self.open.pop().tag].pop()
+
     def close_to(self, tags: tuple, stops) -> None:
         """Ends open elements up to the outermost one of these tags inside the nearest stop."""
-        at = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                at = i
-            elif self.open[i].tag in stops:
-                break
-        if at is not None:
-            del self.open[at:]
+        stop = self.last(stops)
+        inside = [places[i] for t in tags if (i := bisect(places := self.at[t], stop)) < len(places)]
+        if inside:
+            self.cut(min(inside))
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             self.root.attrs |= dict(attrs)
             return
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self.cut(len(self.open) - 1)
         if tag in ENDS:
             self.close_to(*ENDS[tag])
         if tag in CLOSES_P:
             self.close_to(("p",), SCOPE)
-        if self.open[-1].tag == "head" and tag in BLOCKS:
-            self.open.pop()
         element = Element(tag, dict(attrs))
         self.open[-1].children.append(element)
         if tag not in VOID:
+            self.at[tag].append(len(self.open))
             self.open.append(element)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # the slash of a non-void element has no meaning
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and (self.at["svg"] or self.at["math"]):  # elsewhere the slash of a non-void element has no meaning
+            self.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
+        if tag == "br" or tag == "p" and self.last(("p",)) <= self.last(SCOPE):
+            self.handle_starttag(tag, [])  # a p without a start is an empty one
         if tag == "br":
-            self.handle_starttag("br", [])
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                return  # an end tag inside a cell ends nothing outside it
+        if self.at[tag] and (tag in TABLE or self.at[tag][-1] > self.last(("td", "th", "table"))):  # else an end tag inside a cell ends nothing outside it
+            self.cut(self.at[tag][-1])
 
     def handle_data(self, data):
-        if self.open[-1].tag == "style":
+        top = self.open[-1]
+        if top.tag == "head" and data.strip():
+            self.cut(len(self.open) - 1)
+        if top.tag == "style" and on_screen(top.attrs.get("media") or ""):
             self.styles.append(data)
         self.open[-1].children.append(data)
 
 
-def hidden_selectors(styles: list[str]) -> set[tuple[str, str, str]]:
-    """(tag, '.' or '#' or '', name) of the simple selectors that a style sheet hides; others are left alone."""
-    found = set()
-    for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", "\n".join(styles), flags=re.S)):
-        if HIDING.search(body):
-            for s in selectors.split(","):
-                if (s := s.strip()) and (m := SIMPLE.fullmatch(s)):
-                    found.add(((m[1] or "").lower(), m[2] or "", m[3] or ""))
-    return found
+def on_screen(media: str) -> bool:
+    return not media.strip() or any(m.strip().lower() in ("all", "screen", "only screen") for m in media.split(","))
+
+
+def declared(style: str) -> dict[str, tuple[bool, str]]:
+    """Name -> (important, value) of declarations; of two the later one counts, unless only the earlier is important."""
+    out: dict = {}
+    for part in QUOTED.sub('""', COMMENT.sub("", style)).split(";"):
+        name, colon, value = part.partition(":")
+        if colon:
+            value = value.strip().lower()
+            important = value.endswith("!important")
+            name, value = name.strip().lower(), value.removesuffix("!important").strip()
+            if important or not out.get(name, (False,))[0]:
+                out[name] = (important, value)
+    return out
+
+
+SEEN_BY = ("display", "visibility", "content-visibility")
+
+
+class Sheet:
+    """The rules of a page's style sheets that decide what is shown, by the last name of their selectors."""
+
+    def __init__(self, css: str):
+        self.rules: dict[str, list] = defaultdict(list)
+        self.count = 0
+        self.read(QUOTED.sub('""', COMMENT.sub("", css)))
+
+    def read(self, css: str) -> None:
+        """In one pass: blocks of at-rules that hold on a screen count as if their rules stood alone, other blocks of at-rules are skipped."""
+        start, begun, depth, held = 0, None, 0, 0  # of a prelude, of a block being read or skipped, braces open in it, at-rules around
+        for m in BRACE.finditer(css):
+            if m[0] == "{":
+                prelude = "" if depth else css[start : m.start()].strip()
+                name, _, asked = prelude[1:].partition(" ")
+                if prelude.startswith("@") and (name.lower() == "layer" or name.lower() == "media" and on_screen(asked)):
+                    held, start = held + 1, m.end()
+                    continue
+                begun, depth = begun if depth else m.end(), depth + 1
+            elif depth:
+                depth -= m[0] == "}"
+                if not depth:
+                    self.rule(css[start : begun - 1].strip(), css[begun : m.start()])
+                    start = m.end()
+            else:  # the end of an at-rule, with a block or without
+                start, held = m.end(), held - (held > 0 and m[0] == "}")
+
+    def rule(self, prelude: str, body: str) -> None:
+        said = {k: v for k, v in declared(body).items() if k in SEEN_BY}
+        for selector in prelude.split(",") if said and not prelude.startswith("@") else ():
+            if (selector := selector.strip()) and (m := COMPOUND.fullmatch(selector)):
+                tag, parts = (m[1] or "*").lower(), PART.findall(m[2])
+                weight = (sum(k == "#" for k, _ in parts), sum(k == "." for k, _ in parts), int(tag != "*"))
+                self.count += 1
+                self.rules["".join(parts[-1]) if parts else tag].append((tag, {"".join(x) for x in parts}, weight, self.count, said))
+
+    def of(self, e: Element) -> dict[str, str]:
+        """What the cascade gives an element."""
+        best: dict = {}
+
+        def offer(said: dict, weight: tuple, order: int) -> None:
+            for name, (important, value) in said.items():
+                rank = (important, weight, order)
+                if name not in best or rank >= best[name][0]:
+                    best[name] = (rank, value)
+
+        if self.rules:
+            names = {f".{c}" for c in (e.attrs.get("class") or "").split()} | ({f"#{e.attrs['id']}"} if e.attrs.get("id") else set())
+            for key in ("*", e.tag, *names):
+                for tag, parts, weight, order, said in self.rules.get(key, ()):
+                    if tag in ("*", e.tag) and parts <= names:
+                        offer(said, weight, order)
+        if e.attrs.get("style"):
+            offer({k: v for k, v in declared(e.attrs["style"]).items() if k in SEEN_BY}, (1 << 30,), 0)
+        return {name: value for name, (_, value) in best.items()}
+
+
+def shows(e: Element, sheet: Sheet, visible: bool, inside: str) -> bool | None:
+    """Whether an element's own text is visible; None: nothing in it can be."""
+    tag, a = e.tag, e.attrs
+    if tag in UNSEEN or inside == "svg" and tag in UNSEEN_IN_SVG or inside == "math" and tag in UNSEEN_IN_MATH:
+        return None
+    said = sheet.of(e) if sheet.rules or "style" in a else {}
+    display = said.get("display") or ("none" if "hidden" in a or tag == "dialog" and "open" not in a else "")
+    if display == "none" or said.get("content-visibility") == "hidden":
+        return None
+    own = said.get("visibility", "inherit")
+    return visible if own in ("inherit", "unset") else own not in ("hidden", "collapse")
 
 
 class Page:
@@ -161,30 +263,50 @@ class Page:
         return self.lines
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (cell lines, columns that it spans) as text with aligned columns, two spaces apart."""
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (cell lines, columns and rows that it spans; 0 rows: all that follow) as text with aligned columns, two spaces apart."""
+    taken: dict[int, int] = {}  # column -> the last row that a cell from above reaches
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
+    placed = []
+    for y, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, columns, deep in row:
+            while taken.get(at, -1) >= y:
+                at += 1
+            if columns == 1:
                 widths[at] = max([widths.get(at, 0), *map(len, lines)])
-            at += span
+            if deep != 1:
+                taken |= dict.fromkeys(range(at, at + columns), y + deep - 1 if deep else len(rows))
+            cells.append((lines, at))
+            at += columns
+        placed.append(cells)
+    starts, total = {}, 0
+    for x in range(max([at for cells in placed for _, at in cells], default=-1) + 1):
+        starts[x] = total
+        total += widths.get(x, 0) + 2
     out = []
-    for row in rows:
-        for i in range(max([len(lines) for lines, _ in row], default=0)):
-            line, at, filled = "", 0, 0
-            for lines, span in row:
-                cell = lines[i] if i < len(lines) else ""
-                line += " " * max(0, filled - len(line)) + cell
-                filled += sum(widths.get(j, 0) + 2 for j in range(at, at + span))
-                at += span
-            out.append(line.rstrip())
+    for cells in placed:
+        for i in range(max([len(lines) for lines, _ in cells], default=0)):
+            parts, filled = [], 0
+            for lines, at in cells:
+                if i < len(lines):
+                    parts += [" " * max(0, starts[at] - filled), lines[i]]
+                    filled = max(filled, starts[at]) + len(lines[i])
+            out.append("".join(parts).rstrip())
     return out
 
 
-def span_of(value: str | None) -> int:
-    return min(1000, max(1, int(value))) if value and value.isascii() and value.isdigit() and len(value) < 6 else 1
+def span_of(value: str | None, least: int = 1, most: int = 1000) -> int:
+    return min(most, max(least, int(value))) if value and value.isascii() and value.isdigit() and len(value) < 6 else 1
+
+
+def said_by(e: Element) -> str:
+    """What an input or an image shows as text."""
+    a = e.attrs
+    if e.tag == "img":
+        return a.get("alt") or ""
+    kind = (a.get("type") or "").lower()
+    return "" if kind in BLIND else a.get("value") or a.get("placeholder") or {"submit": "Submit", "reset": "Reset"}.get(kind, "")
 
 
 def render(html: str | None) -> str:
@@ -194,36 +316,29 @@ def render(html: str | None) -> str:
     tree = TreeBuilder()
     tree.feed(html)
     tree.close()
-    rules = hidden_selectors(tree.styles)
-
-    def unseen(e: Element) -> bool:
-        a = e.attrs
-        if e.tag in UNSEEN or "hidden" in a or e.tag == "input" or e.tag == "dialog" and "open" not in a or HIDING.search(a.get("style") or ""):
-            return True
-        if not rules:
-            return False
-        names = [("", ""), *((".", c) for c in (a.get("class") or "").split()), ("#", a.get("id") or "")]
-        return any((tag, kind, name) in rules for tag in ("", e.tag) for kind, name in names if tag or kind)
-
+    sheet = Sheet("\n".join(tree.styles))
     pages, tables, lists, kept = [Page()], [], [], 0
-    stack: list = [("enter", tree.root)]
+    stack: list = [("enter", tree.root, True, "")]
     while stack:
-        what, e = stack.pop()
+        what, e, visible, inside = stack.pop()
         page = pages[-1]
         if what == "enter" and isinstance(e, str):
-            page.text(e, kept > 0)
+            if visible:
+                page.text(e, kept > 0)
             continue
         tag = e.tag
         if what == "enter":
-            if unseen(e):
+            visible = shows(e, sheet, visible, inside)
+            if visible is None:
                 continue
             if tag == "br":
                 page.flush(force=True)
                 continue
             if tag == "wbr":
                 continue
-            if tag == "img":
-                page.text(e.attrs.get("alt") or "", False)
+            if tag in ("img", "input"):
+                if visible:
+                    page.text(said_by(e), False)
                 continue
             if tag == "table":
                 page.block(1)
@@ -245,18 +360,20 @@ def render(html: str | None) -> str:
                 if lists:
                     lists[-1][1] += 1
                 page.prefix, page.pending = before, marker
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 kept += 1
             elif tag == "hr":
-                page.put("---")
+                if visible:
+                    page.put("---")
                 page.block(1)
                 continue
-            stack.append(("leave", e))
-            stack += [("enter", c) for c in reversed(e.children)]
+            stack.append(("leave", e, visible, inside))
+            inside = tag if tag in ("svg", "math") else inside
+            stack += [("enter", c, visible, inside) for c in reversed(e.children)]
             continue
         if tag in ("td", "th") and tables:
             pages.pop()
-            tables[-1][-1].append((page.result(), span_of(e.attrs.get("colspan"))))
+            tables[-1][-1].append((page.result(), span_of(e.attrs.get("colspan")), span_of(e.attrs.get("rowspan"), 0, 65534)))
         elif tag == "table":
             for line in table_lines(tables.pop()):
                 page.put(line)
@@ -271,7 +388,7 @@ def render(html: str | None) -> str:
             page.prefix = lists[-1][2] if lists else ""
         elif tag == "li":
             page.pending = ""
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             kept -= 1
     lines = pages[0].result()
     return "\n".join(lines).strip("\n")

@@ -1,10 +1,12 @@
 """Secrets, HTML, chats, mixing and language models against plain versions."""
 
 import hashlib
+import html
 import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -62,12 +64,58 @@ def test_rendering():
     assert html_text.render(page) == "Head\n\nOne\n\ntwo x\ny &\n\n- a\n- b\n  1. c\n\nName   Qty\nApple  10\n\na  b\n c"
     assert html_text.render(None) == html_text.render("") == html_text.render("<p hidden>x") == ""
     assert html_text.render("<div>" * 30000 + "deep") == "deep"
-    assert html_text.render("<p>a</p></div><td>b</td></table><li>c") == "a\n\nb\n- c" or "c" in html_text.render("<p>a</p></div><td>b</td></table><li>c")
+    assert html_text.render("<p>a</p></div><td>b</td></table><li>c") == "a\n\nb\n- c"
+
+
+SHOWN = [
+    ("<div style='backface-visibility:hidden'>a</div><div style='content-visibility:auto'>b</div>", "a\nb"),
+    ("<style>@media print{.nav{display:none}} @media (max-width:3px){.nav{display:none}}</style><div class=nav>a</div>", "a"),
+    ("<style>@import url(x.css);@media screen{.n{display:none} .m{color:red}}p{display:none}</style><div class=n>no</div><p>no</p>a", "a"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>a</b></div>", "a"),
+    ("<style>.x{display:none}.x{display:block}</style><p class=x>a", "a"),
+    ("<style>#i{display:block}.x{display:none}/* } */</style><p class=x id=i>a<p class='x y'>no", "a"),
+    ("<style>.x{display:none!important}</style><p class=x style='display:block'>no", ""),
+    ("<style>.a.b,div.c{display:none}</style><p class=a>x<p class='b a'>no<p class=c>y<div class=c>no</div>", "x\n\ny"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>", "A  B\n   C\nD  E"),
+    ("<table><tr><td colspan=2>AAAA<td>B<tr><td>C<td rowspan=0>D<td>E<tr><td>F<td>G</table>", "AAAA  B\nC  D  E\nF     G"),
+    ("<svg><title>no</title><text>a</text><defs><text>no</text></defs><path/></svg> <math><mi>x</mi></math>", "a x"),
+    ("<form><input value=go><input type=hidden value=no> <input type=submit></form>", "go Submit"),
+    ("<head><title>no</title>text <i>in</i>", "text in"),
+    ("<head><title>no</title><b>bold<div>block</div></b>", "bold\nblock"),
+    ("<p>a<table><tr><td>b</p>c</table>", "a\n\nb\n\nc"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHOWN)
+def test_what_a_browser_shows(page, text):
+    assert html_text.render(page) == text
+
+
+def test_depth_and_style_sheets_cost_no_more_than_length():
+    began = time.perf_counter()
+    assert html_text.render("<p><button>" + "<div>" * 60000 + "deep") == "deep"
+    assert html_text.render("<style>" + "@media screen{" * 20000 + "p{display:none}" + "}" * 20000 + "</style><p>no</p>a") == "a"
+    assert html_text.render("flat " * 400000) == ("flat " * 400000).strip()
+    assert time.perf_counter() - began < 60
+
+
+def plain_text(page):
+    """The visible characters of the test tables' pages without layout: head, scripts and comments cut out, tags deleted."""
+    body = re.sub(r"(?s)<!--.*?-->|<head>.*?</head>|<script.*?</script>|<style.*?</style>", "", page)
+    return "".join(html.unescape(re.sub(r"(?s)<[a-zA-Z/!][^>]*>", "", re.sub(r"<li\b[^>]*>", "- ", body))).split())
+
+
+def test_all_text_of_the_pages_is_there(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for r in pages.collect():
+        assert "".join(got[r.page_id].split()) == plain_text(r.html)
 
 
 def test_pages(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "<p>a", "x"), (2, "<p>a", "x")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(pages).collect()) == [(1, ""), (2, "a"), (2, "a")]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
 def test_chats_round_trip(spark):
