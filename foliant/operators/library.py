@@ -63,3 +63,9 @@ def recent_queries(log: DataFrame, most: int = 30) -> DataFrame:
     """log: at, q. The last distinct queries, newest first."""
     last = log.filter(F.trim("q") != "").groupBy(F.trim("q").alias("q")).agg(F.max("at").alias("at"))
     return last.withColumn("place", F.row_number().over(Window.orderBy(F.desc("at"), "q"))).filter(F.col("place") <= most)
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (with doc_id) and the filename of each one's document, empty where there is none."""
+    names = docs.select(F.col("id").alias("doc_id"), "filename")
+    return rows.join(names, "doc_id", "left").select(*rows.columns, F.coalesce("filename", F.lit("")).alias("filename"))

@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliant.operators import chunking, highlight, jobs, library, summary
-from foliant.sources import files, providers
+from foliant.sources import files, providers, recognition
 from foliant.streaming import ingest
 
 ALPHABET = st.text(st.sampled_from("ab中。！\n "), max_size=120)
@@ -21,11 +23,27 @@ def test_pieces_join_to_the_text(text):
     assert text.startswith(joined) and not text[len(joined) :].strip() or joined == text
 
 
-def test_tables_repeat_their_head():
-    pieces = chunking.split_table("名称 | 数量\n" + "A" * 45 + "\nB | 2", 20)
-    assert all(p.startswith("名称 | 数量\n") for p in pieces)
-    assert "".join("".join(p.split("\n")[1:]) for p in pieces) == "A" * 45 + "B | 2"
-    assert "".join(chunking.split_table("C" * 45, 20)) == "C" * 45
+@given(st.lists(st.text(st.sampled_from("xyz|"), max_size=40), min_size=1, max_size=12), st.integers(6, 60))
+def test_rows_of_tables_stay_in_order_under_the_head(lines, most):
+    text = "\n".join(lines)
+    pieces = chunking.split_table(text, most)
+    if len(text) <= most:
+        assert pieces == [text]
+    elif len(lines) == 1:
+        assert "".join(pieces) == text and max(map(len, pieces)) <= most
+    else:
+        bodies = [p.split("\n") for p in pieces]
+        assert all(head == lines[0] and rows for head, *rows in bodies)
+        assert "".join(r for _, *rows in bodies for r in rows) == "".join(lines[1:])
+        for (_, *rows), (_, first, *_) in zip(bodies, bodies[1:]):
+            assert len(rows) == 1 or len(lines[0]) + sum(map(len, rows)) <= most
+            assert len(lines[0]) + sum(map(len, rows)) + len(first) > most  # no piece could have taken one more
+
+
+def test_cells_of_recognised_tables():
+    rows = recognition.table_rows("<table><td>lost</td><TR><th class=a>x &amp; y<!-- <td>no</td> --><th>u<b>v</b></th></tr>between<tr></tr><tr><td>1\n2</td></table>")
+    assert rows == [["lost"], ["uv"], [], ["1\n2"]]
+    assert recognition.table_rows(None) == recognition.table_rows("no table") == []
 
 
 def test_headings_regions_and_joins(spark):
@@ -36,26 +54,27 @@ def test_headings_regions_and_joins(spark):
 
 
 def test_line_characters():
-    chars = list(highlight.line_chars("AB中", 0, 0, 21, 10))
-    widths = [b[2] - b[0] for _, b in chars]
-    assert widths[0] == pytest.approx(widths[1]) and widths[2] > widths[0]
-    assert [round(b[1]) for _, b in highlight.line_chars("竖排文字", 0, 0, 10, 40)] == [0, 10, 20, 30]
+    chars = highlight.Letters([(1, "x y大", 100, 0, 124, 10), (0, "上下", 5, 10, 15, 50), (0, "", 0, 0, 1, 1)])
+    assert chars.pages.tolist() == [0, 0, 1, 1, 1] and "".join(chars.letters) == "上下xy大"
+    assert chars.boxes[:2].tolist() == [[5, 10, 15, 30], [5, 30, 15, 50]]  # a tall line runs downwards
+    starts = 100 + 24 / 2.4 * np.array([0, 0.55 + 0.3, 1.1 + 0.3])
+    assert chars.boxes[2:, 0] == pytest.approx(starts) and chars.boxes[-1, 2] == pytest.approx(124)
 
 
 def test_hits_across_lines_are_shared_out():
-    lines = [("本项目建设", 60.0, 89.0, 120.0, 101.0), ("项目编号", 60.0, 107.0, 108.0, 119.0)]
-    chars = {0: [c for line in lines for c in highlight.line_chars(*line)]}
-    region = [(0, 50.0, 80.0, 200.0, 130.0)]
-    hits = highlight.document_hits([(1, "本项目建设", region), (2, "项目编号", region)], chars, {0}, ["项目", "建设项目"])
-    assert [(c, len(b), exact) for c, b, exact in hits] == [(1, 1, True), (2, 2, True), (1, 1, True)]  # the first passage has one occurrence to give
-    assert highlight.document_hits([(1, "质保期三年", region)], {}, set(), ["质保期"]) == [(1, region, False)]
+    chars = highlight.Letters([(3, "the river ban", 10.0, 40.0, 75.0, 50.0), (3, "k river", 10.0, 56.0, 45.0, 66.0)])
+    region = [(3, 0.0, 30.0, 90.0, 80.0)]
+    hits = highlight.document_hits([(7, "the river bank", region), (8, "k river", region)], chars, {3}, ["river", "riverbank"])
+    assert [(c, len(b), exact) for c, b, exact in hits] == [(7, 1, True), (8, 2, True), (7, 1, True)]  # in reading order; the first passage has two words to give
+    assert hits[1][1] == [(3, 29.1, 40.0, 75.0, 50.0), (3, 10.0, 56.0, 15.3, 66.0)]  # over the line's end
+    assert highlight.document_hits([(1, "river bank", region)], highlight.Letters([]), set(), ["bank"]) == [(1, region, False)]
 
 
 def test_summary_parts_and_answers():
     text = "\n".join(f"line {i} " + "x" * random.Random(i).randrange(20) for i in range(100))
     parts = summary.split_text(text, 60)
     assert all(len(p) <= 60 for p in parts) and "\n".join(parts) == text
-    assert summary.one_paragraph("## 服务内容\n- **一**\n2. 二。\n三；") == "一；二。三。"
+    assert all(a < b for a, b in summary.part_spans(text, 60)) and summary.split_text("a\n" * 3 + " \n ", 4) == ["a\na", "a\n "]
     calls = []
 
     def chat(system, prompt):
@@ -64,12 +83,26 @@ def test_summary_parts_and_answers():
             raise summary.ContextOverflow
         return "note"
 
-    assert summary.summarise("x", "y\n" * 4000, chat, 6000) == "note。"
+    assert summary.summarise("x", "y\n" * 4000, chat, 6000) == "note"
     assert "notes" in calls[-1]
     with pytest.raises(summary.ContextOverflow):
         summary.summarise("x", "y" * 4000, lambda s, p: (_ for _ in ()).throw(summary.ContextOverflow()), 2000)
 
 
+def test_answers_become_one_paragraph(spark):
+    said = {"# Title\n* **first**\n3) second。\nthird，": "first；second。third。", "": "", "  \n\n": "", "done！": "done！", "a\r\n-\r\nb": "a；；b。", "服务内容：\n项目服务内容: x": "x。"}
+    rows = spark.createDataFrame([(t,) for t in said], "text string").select("text", summary.paragraph(F.col("text")).alias("p")).collect()
+    assert {r.text: r.p for r in rows} == said
+    docs = spark.createDataFrame([(1, "n", "words"), (2, "n", "boom")], "doc_id long, filename string, text string")
+
+    def chat(system, prompt):
+        if "boom" in prompt:
+            raise OSError("no answer")
+        return "- one\n- two"
+
+    assert [tuple(r) for r in summary.summaries(docs, chat, 5000).orderBy("doc_id").collect()] == [(1, "one；two。", None), (2, None, "no answer")]
+
+
 def test_providers():
     tries = []
 
@@ -100,15 +133,21 @@ def test_state_rules(spark):
 
 
 def test_listing_of_classes(spark):
-    docs = spark.createDataFrame([(i, f"标书{i:02}.pdf", 1, "done") for i in range(23)] + [(23, "f", 1, "failed"), (24, "q", 1, "queued"), (25, "q", 1, "queued"), (26, "p", 1, "parsing")], "id long, filename string, size long, status string")
+    docs = spark.createDataFrame([(i, f"file{i:02}.pdf", 1, "done") for i in range(23)] + [(23, "f", 1, "failed"), (24, "q", 1, "queued"), (25, "q", 1, "queued"), (26, "p", 1, "parsing")], "id long, filename string, size long, status string")
     assert tuple(library.class_counts(docs).first()) == (27, 3, 23, 1)
-    assert tuple(library.class_counts(docs, "标书0").first()) == (10, 0, 10, 0)
+    assert tuple(library.class_counts(docs, "file0").first()) == (10, 0, 10, 0)
     assert [r.queue_pos for r in library.page(docs, 1, 10).orderBy("id").collect() if r.queue_pos] == [1, 2]
     assert tuple(library.overall(docs.limit(0)).first()) == (0, 0)
     with pytest.raises(ValueError):
         library.listed(docs, "other")
 
 
+def test_names_of_missing_documents_are_empty(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id long, doc_id long")
+    docs = spark.createDataFrame([(5, "a.pdf")], "id long, filename string")
+    assert sorted((r.id, r.filename) for r in library.named(rows, docs).collect()) == [(1, "a.pdf"), (2, ""), (3, "")]
+
+
 def test_registration(spark):
     rows = spark.createDataFrame([(1, "a.pdf", "x"), (2, "b.PDF", "x"), (3, "c.webp", "y"), (4, "d.doc", "z")], "ord long, filename string, sha256 string")
     known = spark.createDataFrame([("z",)], "sha256 string")
