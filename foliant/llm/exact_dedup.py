@@ -1,18 +1,19 @@
 """Exact deduplication with Patricia-trie owners.
 
-Texts are equal when identical after deleting white space. Strings are dealt into
-partitions by (length, content hash); each partition inserts the full byte strings into a
-compressed radix trie whose terminal nodes hold the owner so far and the number of rows.
-It runs twice: each input task first folds its own rows, so that a group of copies of any
-size leaves one row per task, then the partition's owner folds those. A map-side trie over
-its budget spills whole subtrees, as partial results that the second fold takes up. On
-the second side Spark's external sort brings the strings of a (length, hash) together, so
-that a trie only ever holds one such partition.
+Texts are equal when identical after deleting white space. Each input task inserts its full
+byte strings into one compressed radix trie, whose terminal nodes hold the owner so far and
+the number of rows, so that a group of copies of any size leaves one row per task. Strings
+are then dealt into partitions by (length, content hash) and folded again, into one trie for
+as many hashes as fit. A map-side trie over its budget spills whole subtrees, the largest
+first, as partial results that the second fold takes up. The second side gets its strings
+sorted by (length, hash); where a hash ends, all strings so far are whole, and a trie over its
+budget is given out and begun anew. So neither side holds more than its budget and one hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, spare
 
-#: Bytes that a map task's tries may hold before subtrees are spilled.
+#: Bytes that a task's trie may hold before subtrees are spilled.
 TRIE_BYTES = 48 << 20
 NODE_BYTES = 240
 
@@ -78,14 +79,45 @@ class Patricia:
             node.owner = [min(node.owner[0], rank), node.owner[1] + rows]
 
     def items(self) -> Iterator[tuple[bytes, tuple, int]]:
-        """Every string with its owner's rank and row count; an explicit stack, as tries may be deep."""
-        stack = [(self.root, b"")]
+        """Every string with its owner's rank and row count."""
+        return strings_below(self.root, b"")
+
+    def spill(self, most: int) -> Iterator[tuple[bytes, tuple, int]]:
+        """Cuts off subtrees, the largest first, until the trie holds no more than `most` bytes (or its root alone), and gives their strings. A subtree far larger than the excess is opened instead."""
+        size, order, stack = {}, [], [self.root]
         while stack:
-            node, above = stack.pop()
-            key = above + node.label
-            if node.owner is not None:
-                yield key, *node.owner
-            stack += ((c, key) for c in node.children.values())
+            order.append(stack.pop())
+            stack += order[-1].children.values()
+        for node in reversed(order):
+            size[node] = NODE_BYTES + len(node.label) + sum(size[c] for c in node.children.values())
+        nth, heap = 0, []
+
+        def offer(parent: Node, above: bytes) -> None:
+            nonlocal nth
+            for child in parent.children.values():
+                nth += 1
+                heapq.heappush(heap, (-size[child], nth, child, parent, above))
+
+        offer(self.root, b"")
+        while self.bytes > most and heap:
+            _, _, node, parent, above = heapq.heappop(heap)
+            if node.children and size[node] > 2 * (self.bytes - most):
+                offer(node, above + node.label)
+                continue
+            del parent.children[node.label[0]]
+            self.bytes -= size[node]
+            yield from strings_below(node, above)
+
+
+def strings_below(node: Node, above: bytes) -> Iterator[tuple[bytes, tuple, int]]:
+    """An explicit stack, as tries may be deep."""
+    stack = [(node, above)]
+    while stack:
+        node, above = stack.pop()
+        key = above + node.label
+        if node.owner is not None:
+            yield key, *node.owner
+        stack += ((c, key) for c in node.children.values())
 
 
 def normalised(text: str | None) -> bytes:
@@ -112,72 +144,61 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array([hashlib.sha256(normalised(t)).hexdigest() for t in texts]), pa.array([len(t or "") for t in texts], pa.int64())], schema=DIGESTS)
 
 
-def partial_rows(tries: dict) -> Iterator[pa.RecordBatch]:
-    rows, held = [], 0
-    for (length, h), trie in tries.items():
-        for body, rank, n in trie.items():
-            rows.append((length, h, body, -rank[0], None if rank[1] else rank[2], n))
-            held += len(body)
-            if held > 8 << 20:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), PARTIALS.types)], schema=PARTIALS)
-                rows, held = [], 0
-    if rows:
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), PARTIALS.types)], schema=PARTIALS)
+def batched(rows: Iterator[tuple], schema: pa.Schema, body: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 4,096 rows and about 8 MB of the column `body`."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[body]) if body is not None else 0
+        if len(held) == 4096 or size > 8 << 20:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def partials(strings: Iterator[tuple[bytes, tuple, int]]) -> Iterator[pa.RecordBatch]:
+    return batched(((len(body), content_hash(body), body, -rank[0], None if rank[1] else rank[2], n) for body, rank, n in strings), PARTIALS, 2)
 
 
 def fold_rows(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[tuple[int, int], Patricia] = {}
-        held = 0
+        trie = Patricia()
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                body = normalised(text)
-                key = (len(body), content_hash(body))
-                trie = tries.get(key)
-                if trie is None:
-                    trie = tries[key] = Patricia()
-                    held += trie.bytes
-                before = trie.bytes
-                trie.insert(body, rank_of(text, doc_id))
-                held += trie.bytes - before
-            if held > budget:  # spill the largest subtrees, down to half of the budget
-                spilled = {}
-                for key in sorted(tries, key=lambda k: -tries[k].bytes):
-                    if held <= budget // 2:
-                        break
-                    spilled[key] = tries.pop(key)
-                    held -= spilled[key].bytes
-                yield from partial_rows(spilled)
-        yield from partial_rows(tries)
+                trie.insert(normalised(text), rank_of(text, doc_id))
+                if trie.bytes > budget:
+                    yield from partials(trie.spill(budget // 2))
+        yield from partials(trie.items())
 
     return run
 
 
-def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def own(budget: int):
     """Folds partials sorted by (length, hash) into one row for each distinct string."""
 
-    def rows(trie):
-        return [(hashlib.sha256(body).hexdigest(), None if rank[1] else rank[2], -rank[0], n) for body, rank, n in trie.items()]
+    def given(trie: Patricia) -> Iterator[pa.RecordBatch]:
+        return batched(((hashlib.sha256(body).hexdigest(), None if rank[1] else rank[2], -rank[0], n) for body, rank, n in trie.items()), OWNERS)
 
-    key, trie, out = None, Patricia(), []
-    for b in batches:
-        for length, h, body, points, owner, n in zip(*(c.to_pylist() for c in b.columns)):
-            if (length, h) != key:
-                out += rows(trie)
-                key, trie = (length, h), Patricia()
-            trie.insert(body, (-points, owner is None, owner or 0), n)
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), OWNERS.types)], schema=OWNERS)
-            out = []
-    if out := rows(trie):
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), OWNERS.types)], schema=OWNERS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, trie = None, Patricia()
+        for b in batches:
+            for length, h, body, points, owner, n in zip(*(c.to_pylist() for c in b.columns)):
+                if (length, h) != key and trie.bytes > budget:
+                    yield from given(trie)
+                    trie = Patricia()
+                key = (length, h)
+                trie.insert(body, (-points, owner is None, owner or 0), n)
+        yield from given(trie)
+
+    return run
 
 
 def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row for each distinct text: text_sha256, keep_id, keep_points, group_size."""
-    partials = docs.select("doc_id", "text").mapInArrow(fold_rows(trie_bytes), "length long, hash long, body binary, n_points long, owner long, rows long")
-    dealt = partials.repartition("length", "hash").sortWithinPartitions("length", "hash")
-    return dealt.mapInArrow(own, "text_sha256 string, keep_id long, keep_points long, group_size long")
+    found = docs.select("doc_id", "text").mapInArrow(fold_rows(trie_bytes), "length long, hash long, body binary, n_points long, owner long, rows long")
+    dealt = found.repartition("length", "hash").sortWithinPartitions("length", "hash")
+    return dealt.mapInArrow(own(trie_bytes), "text_sha256 string, keep_id long, keep_points long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -186,8 +207,8 @@ def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     Of equal texts the row with most code points stays, then the smallest doc_id. Null and
     empty texts are equal to each other. Rows without an id come last; one stays only if no
     row of its text has an id (keep_id is then null). Rows that repeat the survivor's id and
-    length are the survivor, once more: each is marked kept. Other columns are not read. An
-    empty table gives an empty result.
+    length are the survivor, once more: each is marked kept. Texts of any length are compared
+    whole. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text").mapInArrow(digests, "doc_id long, text_sha256 string, n_points long")
     return rows.join(owners(docs, trie_bytes), "text_sha256").select(
