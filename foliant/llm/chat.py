@@ -2,8 +2,11 @@
 
 A finite-state machine over roles validates the order of the turns; each turn becomes three
 segments (header, text, end), of which only the texts of trained roles carry loss. Control
-strings inside texts are escaped reversibly: a backslash becomes \\b, "<|" becomes \\c| and,
-in roles, a line feed becomes \\n, so that every backslash is followed by a code of its own.
+strings inside texts are escaped reversibly, by rules that follow from the template: a backslash
+becomes \\b, the first character of the template's strings, where their second one follows, a
+backslash and a letter (\\c| for <|), and in roles that of the string after the role \\n, so that
+every backslash is followed by a code of its own. Turns are rows until their places are known,
+so that the work grows with the length of a conversation.
 """
 
 from __future__ import annotations
@@ -11,13 +14,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Template:
-    """start + role + after_role + text + end for each turn; moves: state -> {role: next state}; a conversation is valid if it ends in one of finals."""
+    """start + role + after_role + text + end for each turn; moves: state -> {role: next state}; a conversation is valid if it ends in one of finals.
+
+    So that an end is only found where one was put: start and end have two characters at least,
+    the first one of end stands in no string but at its beginning, start and after_role aren't
+    beginnings of end nor end of them, and no string has a backslash.
+    """
 
     start: str = "<|im_start|>"
     after_role: str = "\n"
@@ -27,18 +35,33 @@ class Template:
     initial: str = "begin"
     finals: tuple = ("answered",)
 
+    def __post_init__(self):
+        strings = (self.start, self.after_role, self.end)
+        nested = any(x.startswith(self.end) or self.end.startswith(x) for x in strings[:2])
+        if not all(strings) or min(len(self.start), len(self.end)) < 2 or nested or any("\\" in x or self.end[0] in x[1:] for x in strings):
+            raise ValueError("the template's strings can't be told apart in its output")
+
+    @property
+    def codes(self) -> list[tuple[str, str]]:
+        """What is replaced in texts, in this order, and by what."""
+        leads = dict.fromkeys((self.start[:2], self.end[:2]))
+        return [("\\", "\\b"), *((lead, f"\\{code}{lead[1]}") for lead, code in zip(leads, "cd"))]
+
+    @property
+    def role_codes(self) -> list[tuple[str, str]]:
+        after = [(self.after_role[0], "\\n")] if self.after_role[:2] not in (self.start[:2], self.end[:2]) else []
+        return self.codes + after
+
 
 CHATML = Template()
 
 
-def escaped(text: Column, role: bool = False) -> Column:
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<|"), F.lit("\\c|"))
-    return F.replace(out, F.lit("\n"), F.lit("\\n")) if role else out
+def escaped(text: Column, codes: list[tuple[str, str]]) -> Column:
+    return reduce(lambda out, c: F.replace(out, F.lit(c[0]), F.lit(c[1])), codes, text)
 
 
-def unescaped(text: Column, role: bool = False) -> Column:
-    out = F.replace(text, F.lit("\\n"), F.lit("\n")) if role else text
-    return F.replace(F.replace(out, F.lit("\\c|"), F.lit("<|")), F.lit("\\b"), F.lit("\\"))
+def unescaped(text: Column, codes: list[tuple[str, str]]) -> Column:
+    return reduce(lambda out, c: F.replace(out, F.lit(c[1]), F.lit(c[0])), reversed(codes), text)
 
 
 def next_state(state: Column, role: Column, template: Template) -> Column:
@@ -51,38 +74,29 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
 
     Turns go by turn, then role and text, so that ties and repeated rows have a fixed order;
     null texts and roles are empty. Conversations that the state machine rejects are formatted
-    too, with valid = false. A null conv_id is a conversation of its own. Other columns are not
-    read. An empty table gives an empty result.
+    too, with valid = false. A null conv_id is a conversation of its own. Rows that repeat are
+    turns each; texts and conversations of any length are formatted whole, one conversation
+    being one value. Other columns are not read. An empty table gives an empty result.
     """
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit(template.start), escaped(role, template.role_codes), F.lit(template.after_role))
+    said = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), head.alias("head"), escaped(text, template.codes).alias("said"))
+    said = said.withColumns({"n": F.length("head"), "m": F.length("said")})
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.sum(F.col("n") + F.col("m") + len(template.end)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = said.select("conv_id", F.struct(F.row_number().over(order).alias("nth"), F.coalesce(before, F.lit(0)).cast("int").alias("at"), "role", "head", "said", "n", "m").alias("t"))
+    chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     state = F.aggregate("t", F.lit(template.initial), lambda s, x: next_state(s, x["role"], template))
-    pieces = F.flatten(
-        F.transform(
-            "t",
-            lambda x: F.array(
-                F.struct(F.concat(F.lit(template.start), escaped(x["role"], True), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
-                F.struct(escaped(x["text"]).alias("text"), x["role"].isin(*template.loss_roles).alias("loss")),
-                F.struct(F.lit(template.end).alias("text"), F.lit(False).alias("loss")),
-            ),
-        )
-    )
-    return (
-        chats.select("conv_id", state.isin(*template.finals).alias("valid"), pieces.alias("pieces"))
-        .select("conv_id", "valid", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), F.transform("pieces", lambda p: F.struct(F.length(p["text"]).alias("length"), p["loss"].alias("loss"))).alias("lengths"))
-        .select("conv_id", "valid", "formatted", segments(F.col("lengths")).alias("segments"))
-    )
-
-
-def segments(lengths: Column) -> Column:
-    """Adds each segment's start, the sum of the lengths before it, in one pass."""
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, length: int, loss: boolean>>)").alias("out"))
-    return F.aggregate(
-        lengths,
-        empty,
-        lambda acc, x: F.struct((acc["at"] + x["length"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["length"].alias("length"), x["loss"].alias("loss")))).alias("out")),
-        lambda acc: acc["out"],
+    segment = lambda start, length, loss: F.struct(start.alias("start"), length.alias("length"), loss.alias("loss"))
+    segments = F.transform(
+        "t",
+        lambda x: F.array(
+            segment(x["at"], x["n"], F.lit(False)),
+            segment(x["at"] + x["n"], x["m"], x["role"].isin(*template.loss_roles)),
+            segment(x["at"] + x["n"] + x["m"], F.lit(len(template.end)), F.lit(False)),
+        ),
     )
+    return chats.select("conv_id", state.isin(*template.finals).alias("valid"), F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["said"], F.lit(template.end))), "").alias("formatted"), F.flatten(segments).alias("segments"))
 
 
 def parse_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -92,9 +106,14 @@ def parse_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     parsed = F.transform(
         blocks,
         lambda x: F.struct(
-            unescaped(F.substring_index(body(x), template.after_role, 1), True).alias("role"),
-            unescaped(F.substr(body(x), F.position(F.lit(template.after_role), body(x)) + len(template.after_role))).alias("text"),
+            unescaped(F.substring_index(body(x), template.after_role, 1), template.role_codes).alias("role"),
+            unescaped(F.substr(body(x), F.position(F.lit(template.after_role), body(x)) + len(template.after_role)), template.codes).alias("text"),
         ),
     )
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(F.substr("formatted", s["start"] + 1, s["length"]))), "")
-    return formatted.select("conv_id", "valid", "formatted", parsed.alias("turns"), loss.alias("loss_text"))
+
+    def marked(x: Column, i: Column) -> Column:
+        """A turn's part under the mask; its three segments begin where its block does."""
+        first, own = F.get("segments", 3 * i), F.get("segments", 3 * i + 1)
+        return F.when(own["loss"], unescaped(F.substr(x, own["start"] - first["start"] + 1, own["length"]), template.codes)).otherwise("")
+
+    return formatted.select("conv_id", "valid", "formatted", parsed.alias("turns"), F.array_join(F.transform(blocks, marked), "").alias("loss_text"))

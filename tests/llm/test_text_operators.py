@@ -130,6 +130,39 @@ def test_chats_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+SQUARE = chat.Template(start="[INST]", after_role=": ", end="[/INST]\n")
+
+
+@pytest.mark.parametrize("template", [chat.CHATML, SQUARE, chat.Template(start="<|", after_role="<|sep|>", end="#>"), chat.Template(start="ab", after_role="\n", end="cd")])
+def test_escapes_follow_from_the_template(spark, template):
+    rng = random.Random(4)
+    parts = [template.start, template.end, template.after_role, template.start[:2], template.end[:2], "\\", "\\b", "\\c", "\\d", "\\n", "n", "c", "|", "<", "[", "/", "I", "#", ">", " ", "\n", "a", "b", "d", "é"]
+    rows = [(c, t, "".join(rng.choices(parts, k=3)) if rng.random() < 0.3 else rng.choice(["user", "assistant"]), "".join(rng.choices(parts, k=rng.randrange(9)))) for c in range(60) for t in range(4)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat.format_chats(turns, template)
+    got = {r.conv_id: r for r in chat.parse_chats(whole, template).collect()}
+    marks = {r.conv_id: r for r in whole.collect()}
+    for c in range(60):
+        own = [(r, x) for i, _, r, x in rows if i == c]
+        assert [(t.role, t.text) for t in got[c].turns] == own
+        assert got[c].loss_text == "".join(x for r, x in own if r == "assistant")
+        spans = [(s.start, s.start + s.length) for s in marks[c].segments]
+        assert spans[0][0] == 0 and spans[-1][1] == len(marks[c].formatted) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    for bad in ({"start": "a"}, {"end": "xx"}, {"after_role": ""}, {"end": "a\\b"}, {"start": "<|", "end": "|>"}, {"start": "<|"}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
+def test_long_conversations_and_repeated_rows(spark):
+    turns = spark.range(20000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    again = spark.createDataFrame([(2, 0, "user", "x"), (2, 0, "user", "x"), (2, 1, "assistant", "y" * 100000)], turns.schema)
+    began = time.perf_counter()
+    got = {r.conv_id: r for r in chat.parse_chats(chat.format_chats(turns.union(again))).collect()}
+    assert time.perf_counter() - began < 60
+    assert len(got[1].turns) == 20000 and got[1].valid and got[1].loss_text == "".join(f"t{i}" for i in range(1, 20000, 2))
+    assert [t.text for t in got[2].turns[:2]] == ["x", "x"] and got[2].loss_text == "y" * 100000
+
+
 def brute_mix(rows):
     sizes = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in rows]
     total = Counter()
