@@ -19,10 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -36,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(cut_off: DataFrame) -> None:
+    """Delete a table that cut() wrote and that nothing will read again."""
+    jvm, conf = cut_off.sparkSession._jvm, cut_off.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rpartition("/")[0] for f in cut_off.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("foliant-"):
+            path.getFileSystem(conf).delete(path, True)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (public constants of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))

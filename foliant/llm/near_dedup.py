@@ -34,8 +34,8 @@ from .graph import Forest, components
 WORDS, PERCENT, K = 5, 75, 64
 #: Members of a list that still gives single pairs; members of a block.
 SHORT_LIST, BLOCK = 24, 512
-#: Size of the bitmap that says which documents' full sets are needed.
-BITS = 1 << 22
+#: Wanted ids that a Bloom filter is still made for: four to a word of 64 bits, so at most 32 MiB.
+BLOOM_IDS = 1 << 24
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -93,14 +93,16 @@ def sketched(words: int, k: int):
     return run
 
 
-def full_sets(words: int, marked):
-    """node, set of the rows whose bit is marked; the columns are id, text, bit."""
+def full_sets(words: int, filled=None):
+    """node, set of the rows; the columns are id, text and, with a Bloom filter, its word and mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(marked.value[batch.column(2).to_numpy()]))
-            for i in range(0, len(some), 1024):
-                b = some.slice(i, 1024)
+            if filled is not None:
+                mask = batch.column(3).to_numpy()
+                batch = batch.filter(pa.array(filled.value[batch.column(2).to_numpy()] & mask == mask))
+            for i in range(0, len(batch), 1024):
+                b = batch.slice(i, 1024)
                 yield pa.record_batch([b.column(0), lists_of(list(shingle_sets(b.column(1), words)))], names=["node", "set"])
 
     return run
@@ -156,13 +158,13 @@ def linked(a: Column, b: Column, percent: int) -> Column:
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, short_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K, short_list: int = SHORT_LIST, block: int = BLOCK, bloom_ids: int = BLOOM_IDS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Null texts and texts without words have no shingles and are linked with nothing. Rows that
     share a doc_id are one document that has the links of each of them. Rows without an id
-    are linked with nothing and kept, with a null component_id. Other columns are not read.
-    An empty table gives an empty result.
+    are linked with nothing and kept, with a null component_id. Texts of any length are read
+    whole. Other columns are not read. An empty table gives an empty result.
     """
     c = least_shared(k, percent)
     sketches = cut(docs.select("doc_id", "text").mapInArrow(sketched(words, k), "doc_id long, n_shingles long, class binary, sketch array<long>"))
@@ -170,8 +172,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     lists = cut(prefix_lists(classes, k, percent, c))
     short = cut(short_pairs(lists.filter(f"members <= {short_list}"), percent))
     long = cut(blocks(lists.filter(f"members > {short_list}"), block))
-    wanted = short.select(F.col("a").alias("node")).union(short.select("b")).union(long.select("node")).distinct()
-    sets = cut(sets_of(docs, wanted, words))
+    wanted = cut(short.select(F.col("a").alias("node")).union(short.select("b")).union(long.select("node")).distinct())
+    sets = cut(sets_of(docs, wanted, words, bloom_ids))
     links = verified(short, sets, k, percent, c).union(block_pairs(long, sets, k, percent, c))
     labels = components(links)
     named = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("_component"))
@@ -183,16 +185,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     )
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int, bits: int = BITS) -> DataFrame:
-    """node, set of the wanted documents, and of some that share a bit with one; the joins that follow pass over these.
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, most: int = BLOOM_IDS) -> DataFrame:
+    """node, set of the wanted documents, and of about 1 in 100 others; the joins that follow pass over these.
 
-    A bitmap of fixed size goes to all tasks, so that texts are read where they are and not shuffled.
+    A Bloom filter in proportion to the wanted ids goes to all tasks, so that texts are read
+    where they are. Of more ids than `most` a semi-join picks the texts, which shuffles them once.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
-    marked = np.zeros(bits, bool)
-    marked[wanted.select(bit("node").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # at most `bits` numbers
-    held = docs.sparkSession.sparkContext.broadcast(marked)
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(full_sets(words, held), "node long, set array<long>")
+    rows, n = docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), wanted.count()
+    if n > most:
+        return rows.join(wanted, rows["doc_id"] == wanted["node"], "left_semi").mapInArrow(full_sets(words), "node long, set array<long>")
+    slots = max(1, n // 4)
+
+    def place(c: str) -> list[Column]:
+        h = F.xxhash64(c, F.lit(1))
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, k).bitwiseAND(F.lit(63)).cast("int")) for k in (0, 6, 12)]
+        return [F.pmod(F.xxhash64(c), F.lit(slots)).alias("slot"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("mask")]
+
+    filled = np.zeros(slots, np.int64)
+    got = wanted.select(*place("node")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # most / 4 rows at most
+    filled[got["slot"].to_numpy()] = got["mask"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(filled)
+    return rows.select("doc_id", "text", *place("doc_id")).mapInArrow(full_sets(words, held), "node long, set array<long>")
 
 
 def prefix_lists(classes: DataFrame, k: int, percent: int, c: int) -> DataFrame:
@@ -255,7 +268,11 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, c: int) ->
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
-    """docs with all its columns, one row of each class of near-duplicates: the smallest doc_id."""
+    """docs with all its columns, one row of each class of near-duplicates: that with the smallest doc_id.
+
+    Rows that share an id are one document: all of them stay if it does. Rows without an id are
+    linked with nothing and stay.
+    """
     own = spare("_id", docs)
     kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")

@@ -145,6 +145,16 @@ def test_near_duplicates_equal_brute_force(spark):
     for short, block in ((24, 512), (4, 8), (1000, 512)):  # the short lists' way, the blocks' way and both give the same
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, short_list=short, block=block).collect())
         assert got == want, (short, block)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, bloom_ids=0).collect())
+    assert got == want  # texts picked by a semi-join
+
+
+def test_filter_holds_all_wanted_and_few_others(spark):
+    docs = spark.range(20000).selectExpr("id AS doc_id", "concat('word', id) AS text")
+    wanted = spark.range(0, 20000, 10).selectExpr("id AS node")
+    got = {r.node for r in near_dedup.sets_of(docs, wanted, 5).select("node").collect()}
+    assert got >= set(range(0, 20000, 10)) and len(got) < 2000 + 0.03 * 18000
+    assert near_dedup.sets_of(docs, wanted.limit(0), 5).count() == 0
 
 
 def test_near_duplicates_of_odd_rows(spark):
