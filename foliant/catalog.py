@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import catalog_pages
 from .functions import text as X
 from .operators import blocks, chunking, highlight, jobs, library, retrieval, search, summary
-from .plans.views import CHUNKS, DOCS, LOW, library_documents, table, views
+from .plans.views import CHUNKS, DOCS, LOW, index, library_documents, table, views
 from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -454,7 +454,7 @@ def postings(spark, d):
 
 @query(f"WITH {UNITS}, {BM25} SELECT id, score, rank FROM best")
 def bm25_top(spark, d):
-    return retrieval.bm25(units(spark, d), list(ASKED))
+    return retrieval.bm25(index(spark, d, "units", units(spark, d)), list(ASKED))
 
 
 @query(f"WITH {KNN.format('')} SELECT id, distance, rank FROM knn")

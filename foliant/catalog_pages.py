@@ -8,7 +8,7 @@ from .functions import progress as P
 from .functions.text import duration_text
 from .operators import library, pages, search
 from .plans import service
-from .plans.views import CHUNKS, DOCS, LOW, library_documents, table, views
+from .plans.views import CHUNKS, DOCS, LOW, index, library_documents, table, views
 from .sources import files, recognition
 
 WITH = f"WITH {DOCS},\n{CHUNKS}"
@@ -160,8 +160,9 @@ def hybrid_service(spark, d):
     from .sources.providers import HashEmbedder, embedded
 
     docs, chunks = views(spark, d)
-    lib = service.Library(docs, chunks, embedded(chunks, HashEmbedder()), HashEmbedder(), semantic=True)
-    return lib.search("thanedble the", "hybrid")[0]
+    vectors = embedded(chunks.select("id", service.embedding_text().alias("text")), HashEmbedder())
+    words = index(spark, d, "chunks", chunks.select("id", service.retrieval_text().alias("text")))
+    return service.Library(docs, chunks, vectors, HashEmbedder(), semantic=True, words=words).search("thanedble the", "hybrid")[0]
 
 
 @query(f"WITH {DOCS} SELECT count(*) AS n FROM docs WHERE status = 'done'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,26 +19,49 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings: term, id, tf, dl (tokens of the unit); size: one row, n (units) and tokens."""
+
+    postings: DataFrame
+    size: DataFrame
+
+
 def postings(units: DataFrame) -> DataFrame:
     """units: id, text -> term, id, tf."""
     return units.select("id", F.explode(tokens("text")).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def bm25(units: DataFrame, query: list[str], top: int = TOP) -> DataFrame:
-    """id, score (least is best), rank of the `top` best units for any of the terms. Terms that most units have count next to nothing."""
-    sized = units.select("id", F.size(tokens("text")).alias("dl"), F.filter(tokens("text"), lambda t: t.isin(*query)).alias("hits"))
-    stats = sized.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.count_if(F.array_contains("hits", t)).alias(f"n{i}") for i, t in enumerate(query)])
-    n, avg, *df = stats.first()  # one row
-    if not n or not avg:
-        return sized.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(avg)))
+def sized_postings(units: DataFrame) -> DataFrame:
+    """units: id, text -> term, id, tf, dl."""
+    rows = units.select("id", tokens("text").alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def sizes(units: DataFrame) -> DataFrame:
+    return units.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens("text"))), F.lit(0)).alias("tokens"))
+
+
+def index_of(units: DataFrame) -> Index:
+    """An index that isn't stored: it is made anew whenever it is asked."""
+    return Index(sized_postings(units), sizes(units))
+
 
-    def part(i: int, t: str) -> Column:
-        idf = math.log((n - df[i] + 0.5) / (df[i] + 0.5))
-        f = F.size(F.filter("hits", lambda x: x == t)).cast("double")
-        return F.lit(idf if idf > 0 else LEAST_IDF) * f * (K1 + 1) / (f + norm)
+def bm25(index: Index, query: list[str], top: int = TOP, only: DataFrame | None = None) -> DataFrame:
+    """id, score (least is best), rank of the `top` best units for any of the terms. Terms that most units have count next to nothing.
 
-    scored = sized.filter(F.size("hits") > 0).select("id", F.round(-reduce(lambda a, b: a + b, [part(i, t) for i, t in enumerate(query)]), 9).alias("score"))
+    Only the postings of the terms are read. only: ids that may be found; the terms' weights are the whole index's.
+    """
+    hits = index.postings.filter(F.col("term").isin(*query))
+    n, total = index.size.first()  # one row
+    average = float(total or 0) / n if total else 1.0
+    share = (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    idf = F.when(F.log(share) > 0, F.log(share)).otherwise(LEAST_IDF)
+    weights = hits.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    found = hits.join(only, "id", "left_semi") if only is not None else hits
+    f = F.col("tf").cast("double")
+    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
+    scored = found.join(F.broadcast(weights), "term").groupBy("id").agg(F.round(-F.sum(part), 9).alias("score"))  # a row for each term of the query
     return ranked(scored.orderBy("score", "id").limit(top), "score", "id")
 
 

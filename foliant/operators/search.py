@@ -17,6 +17,11 @@ from ..functions.text import ascii_lower, contains_any, occurrences_of_all, term
 PREVIEWS = 3
 
 
+def lowered(chunks: DataFrame) -> Column:
+    """The form of a passage that terms are looked for in: stored beside the text, or made of it."""
+    return F.col("low") if "low" in chunks.columns else ascii_lower("text")
+
+
 def searchable(docs: DataFrame, doc_id: int | None = None) -> DataFrame:
     """Documents that exact search sees; 0 and None ask for all."""
     done = docs.filter("status = 'done'")
@@ -33,7 +38,7 @@ def filename_hits(docs: DataFrame, query: str, doc_id: int | None = None) -> Dat
 def keyword_matches(chunks: DataFrame, docs: DataFrame, query: str, doc_id: int | None = None) -> DataFrame:
     """id, doc_id, seq, page_start, n_hits of the matching chunks: each term in the text or in the file's name, and one in the text."""
     terms = terms_of(query)
-    low = ascii_lower("text")
+    low = lowered(chunks)
     rows = chunks.filter(contains_any(low, terms) if terms else F.lit(False))
     if doc_id:
         rows = rows.filter(F.col("doc_id") == doc_id)
@@ -49,14 +54,16 @@ def reading_order() -> list[Column]:
     return [F.col("page_start"), F.col("seq"), F.col("id")]
 
 
-def grouped(chunks: DataFrame, docs: DataFrame, query: str, doc_id: int | None = None) -> DataFrame:
-    """doc_id, filename, filename_match, hit_count, chunk_count, rank: documents with a hit in text or name."""
+def grouped(chunks: DataFrame, docs: DataFrame, query: str, doc_id: int | None = None, top: int | None = None) -> DataFrame:
+    """doc_id, filename, filename_match, hit_count, chunk_count, rank: documents with a hit in text or name; the `top` first ones, or all."""
     hits = keyword_matches(chunks, docs, query, doc_id).groupBy("doc_id").agg(F.sum("n_hits").alias("hit_count"), F.count("*").alias("chunk_count"))
     named = filename_hits(docs, query, doc_id).select("doc_id", F.lit(True).alias("named"))
     found = hits.join(named, "doc_id", "full_outer").join(docs.select(F.col("id").alias("doc_id"), "filename"), "doc_id", "left")
     rows = found.select("doc_id", F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("named", F.lit(False)).alias("filename_match"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    order = Window.orderBy(F.desc("filename_match"), F.desc("hit_count"), "filename", "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order))
+    order = [F.desc("filename_match"), F.desc("hit_count"), F.col("filename"), F.col("doc_id")]
+    if top is not None:
+        rows = rows.orderBy(*order).limit(top)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def totals(chunks: DataFrame, docs: DataFrame, query: str) -> DataFrame:
@@ -86,7 +93,7 @@ def many_queries(chunks: DataFrame, docs: DataFrame, queries: list[str]) -> Data
     """query, documents and hits of each of several queries, in one pass over the chunks."""
     asked = [(q, terms_of(q)) for q in dict.fromkeys(queries)]
     every = list(dict.fromkeys(t for _, ts in asked for t in ts))
-    low, name = ascii_lower("text"), ascii_lower("filename")
+    low, name = lowered(chunks), ascii_lower("filename")
     rows = chunks.filter(contains_any(low, every) if every else F.lit(False)).select("doc_id", low.alias("low"))
     names = searchable(docs).select(F.col("id").alias("doc_id"), name.alias("name"))
     both = rows.join(names, "doc_id")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import terms_of
+from ..functions.text import occurrences_of_all, terms_of
 from ..operators import jobs, library, retrieval, search
 from ..sources import files
 from ..sources.providers import Breaker, Embedder, Reranker
@@ -32,7 +32,7 @@ def need(ok: bool, what: str) -> None:
 
 @dataclass
 class Library:
-    """docs: id, filename, size, status; chunks: id, doc_id, seq, heading, text, page_start; vectors: id, v."""
+    """docs: id, filename, size, status; chunks: id, doc_id, seq, heading, text, page_start; vectors: id, v; words: the index of headings and texts."""
 
     docs: DataFrame
     chunks: DataFrame
@@ -41,6 +41,7 @@ class Library:
     reranker: Reranker | None = None
     semantic: bool = False
     breaker: Breaker | None = None
+    words: retrieval.Index | None = None
 
     def search(self, q: str, mode: str = "keyword", doc_id: int | None = None) -> tuple[DataFrame, bool]:
         """Documents found, and whether the semantic part took part."""
@@ -55,7 +56,8 @@ class Library:
         units = self.chunks.filter(F.col("doc_id") == doc_id) if doc_id else self.chunks
         tokens = [r[0] for r in self.docs.sparkSession.range(1).select(F.explode(F.array_distinct(retrieval.tokens(F.lit(q.strip())))))
                   .collect()]  # the query's own words
-        words = retrieval.bm25(units, tokens) if mode == "hybrid" and tokens else None
+        index = self.words or retrieval.index_of(self.chunks.select("id", retrieval_text().alias("text")))
+        words = retrieval.bm25(index, tokens, only=units.select("id") if doc_id else None) if mode == "hybrid" and tokens else None
         try:
             [query] = self.embedder.embed([q])
             own = self.vectors.join(units.select("id"), "id", "left_semi") if doc_id else self.vectors
@@ -67,10 +69,12 @@ class Library:
         fused = retrieval.fused(words if words is not None else near.limit(0), near)
         rows = retrieval.with_bonus(fused, units, terms_of(q)) if mode == "hybrid" else fused.join(units.select("id"), "id", "left_semi")
         rows = self.rerank(q, rows, units)
-        best = rows.join(units.select("id", "doc_id"), "id").groupBy("doc_id").agg(F.min("rank").alias("best"), F.count("*").alias("chunk_count"))
+        terms = terms_of(q)
+        counted = rows.join(units.select("id", "doc_id", F.lower("text").alias("_low")), "id").withColumn("n_hits", occurrences_of_all(F.col("_low"), terms))
+        best = counted.groupBy("doc_id").agg(F.min("rank").alias("best"), F.count("*").alias("chunk_count"), F.sum("n_hits").alias("hit_count"))
         named = search.filename_hits(self.docs, q, doc_id).select("doc_id", F.lit(True).alias("filename_match"))
         found = best.join(named, "doc_id", "full_outer").join(self.docs.select(F.col("id").alias("doc_id"), "filename"), "doc_id", "left")
-        found = found.select("doc_id", F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("filename_match", F.lit(False)).alias("filename_match"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "best")
+        found = found.select("doc_id", F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("filename_match", F.lit(False)).alias("filename_match"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "best")
         return retrieval.ranked(found, F.desc("filename_match"), F.col("best").asc_nulls_last(), "doc_id"), ok
 
     def rerank(self, q: str, rows: DataFrame, units: DataFrame) -> DataFrame:

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_lower
+from ..operators import retrieval
+
+#: (application, folder of the tables, name) -> where a derived table was written.
+WRITTEN: dict[tuple[str, str, str], str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +60,45 @@ chunks AS (SELECT doc_id * 1000000 + seq AS id, doc_id, seq, CASE WHEN contains(
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="foliant-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that importing writes once, before any query: derived from the test tables at first use in a session, then read. The test tables don't change."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in WRITTEN:
+        path = f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        WRITTEN[key] = path
+    return spark.read.parquet(WRITTEN[key])
+
+
+def parts(df: DataFrame) -> int:
+    """Files of a derived table: one for each split of its source, and enough for all cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+
+
 def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and their passages as stored: in ranges of doc_id, with the form that exact search looks in."""
     docs = library_documents(spark, sf_dir)
-    return docs, line_chunks(docs)
+
+    def make() -> DataFrame:
+        chunks = line_chunks(docs).withColumn("low", ascii_lower("text"))
+        return chunks.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", "seq")
+
+    return docs, stored(spark, sf_dir, "chunks", make)
+
+
+def index(spark: SparkSession, sf_dir: str, name: str, units: DataFrame) -> retrieval.Index:
+    """The inverted index of units (id, text), as stored: in ranges of terms, so that a query reads only its terms' row groups."""
+    postings = stored(spark, sf_dir, f"{name}-postings", lambda: retrieval.sized_postings(units).repartitionByRange(parts(units), "term").sortWithinPartitions("term", "id"))
+    return retrieval.Index(postings, stored(spark, sf_dir, f"{name}-sizes", lambda: retrieval.sizes(units)))
