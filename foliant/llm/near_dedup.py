@@ -9,9 +9,11 @@
    the first k - c + 1 hold a shared one. In the order of rising frequency these are mostly
    values of one class; common passages come last and make no list.
 3. Short lists give their pairs, each in the first list that both are in.
-4. Members of long lists are dealt into blocks of bounded size, near members together; pairs
-   of blocks that share a list are compared block against block, and leave a spanning forest
-   of their links instead of all of these.
+4. Members of long lists are dealt into blocks of bounded size, near members together. Each
+   block is compared with itself and with the first block of each of its lists, which leaves
+   a spanning forest of the links found. So N near copies are one component after about
+   N / BLOCK comparisons. Members are then dealt anew, by component, and of the pairs of blocks
+   that share a list only those that hold two components are compared, for links between these.
 5. Candidates pass the union-sketch estimate, then exact Jaccard on full sets decides.
 """
 
@@ -137,6 +139,8 @@ def block_links(k: int, percent: int, c: int):
         likely &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
         two = table["b1"][0].as_py() != table["b2"][0].as_py()
         likely &= (side[:, None] != side[None, :]) if two else True
+        part = table["part"].to_numpy()
+        likely &= part[:, None] != part[None, :]
         np.fill_diagonal(likely, False)
         some = np.flatnonzero(likely.any(axis=1))
         forest, found = Forest(), []
@@ -174,8 +178,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     long = cut(blocks(lists.filter(f"members > {short_list}"), block))
     wanted = cut(short.select(F.col("a").alias("node")).union(short.select("b")).union(long.select("node")).distinct())
     sets = cut(sets_of(docs, wanted, words, bloom_ids))
-    links = verified(short, sets, k, percent, c).union(block_pairs(long, sets, k, percent, c))
+    alone = long.withColumn("part", F.col("node"))
+    links = cut(verified(short, sets, k, percent, c).union(compared(star_pairs(long), alone, sets, k, percent, c)))
     labels = components(links)
+    members = cut(dealt(long.drop("block").join(labels.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "part", block))
+    pairs = cut(open_pairs(members))
+    if not pairs.isEmpty():
+        labels = components(links.union(compared(pairs, members, sets, k, percent, c)))
     named = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("_component"))
     return sketches.join(named, "class", "left").select(
         "doc_id",
@@ -238,20 +247,40 @@ def blocks(lists: DataFrame, block: int) -> DataFrame:
     nodes = nodes.withColumn("least", F.col("values")[0])
     groups = components(nodes.select("least", F.explode("values").alias("value")).distinct())
     nodes = nodes.join(groups.withColumnRenamed("node", "least"), "least", "left").withColumn("group", F.coalesce("component", "least"))
-    sizes = nodes.groupBy("group", "least").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("group").orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt(nodes, "least", block).select("node", "group", "block", "values")
+
+
+def dealt(nodes: DataFrame, by: str, block: int) -> DataFrame:
+    """Adds block: nodes of a group in the order of `by`, in blocks of about this size."""
+    sizes = nodes.groupBy("group", by).agg(F.count("*").alias("size"))
+    before = Window.partitionBy("group").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    placed = nodes.join(sizes, ["group", "least"])
-    return placed.select("node", "group", F.expr(f"cast((ahead + pmod(xxhash64(node), size)) div {block} as bigint)").alias("block"), "values")
+    return nodes.join(sizes, ["group", by]).withColumn("block", F.expr(f"cast((ahead + pmod(xxhash64(node), size)) div {block} as bigint)")).drop("size", "ahead")
 
 
-def block_pairs(nodes: DataFrame, sets: DataFrame, k: int, percent: int, c: int) -> DataFrame:
-    """Links of all pairs of blocks that share a long list."""
+def star_pairs(nodes: DataFrame) -> DataFrame:
+    """group, b1, b2: each block with itself and with the first block of each of its lists."""
     held = nodes.select("group", "block", F.explode("values").alias("value")).distinct()
-    other = held.select("group", "value", F.col("block").alias("b2"))
-    pairs = held.join(other, ["group", "value"]).filter("block <= b2").select("group", F.col("block").alias("b1"), "b2").distinct()
+    first = held.groupBy("group", "value").agg(F.min("block").alias("b1"))
+    own = held.select("group", F.col("block").alias("b1"), F.col("block").alias("b2"))
+    return held.join(first, ["group", "value"]).select("group", "b1", F.col("block").alias("b2")).union(own).distinct()
+
+
+def open_pairs(nodes: DataFrame) -> DataFrame:
+    """group, b1, b2: the pairs of blocks that share a list and hold nodes of more than one part."""
+    ends = nodes.groupBy("group", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    held = nodes.select("group", "block", F.explode("values").alias("value")).distinct().join(ends, ["group", "block"])
+    other = held.select("group", "value", F.col("block").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    differ = (F.least("lo", "lo2") != F.greatest("hi", "hi2")) & (F.col("block") <= F.col("b2"))
+    one = held.groupBy("group", "value").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("group", "value")  # lists within one part have no open pairs
+    held, other = held.join(one, ["group", "value"], "left_semi"), other.join(one, ["group", "value"], "left_semi")
+    return held.join(other, ["group", "value"]).filter(differ).select("group", F.col("block").alias("b1"), "b2").distinct()
+
+
+def compared(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent: int, c: int) -> DataFrame:
+    """Links between nodes of different parts in these pairs of blocks."""
     sides = pairs.select("group", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("own"))
-    rows = sides.join(nodes.select("node", "group", F.col("block").alias("own")), ["group", "own"]).join(sets, "node")
+    rows = sides.join(nodes.select("node", "part", "group", F.col("block").alias("own")), ["group", "own"]).join(sets, "node")
     return rows.groupBy("group", "b1", "b2").applyInArrow(block_links(k, percent, c), "a long, b long")
 
 

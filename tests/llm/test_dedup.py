@@ -149,6 +149,32 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want  # texts picked by a semi-join
 
 
+def test_large_groups_of_copies_take_few_comparisons(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(5000)]
+    one, two = rng.choices(words, k=60), rng.choices(words, k=60)
+    rows = []
+    for i in range(600):  # two groups that share no list, and one text between that links to neither
+        text = list(one if i % 3 else two)
+        text[rng.randrange(60)] = rng.choice(words)
+        rows.append((i, " ".join(text), "x"))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    taken = []
+    compared = near_dedup.compared
+
+    def counting(pairs, *rest):
+        taken.append(pairs.count())
+        return compared(pairs, *rest)
+
+    near_dedup.compared = counting
+    try:
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, block=16).collect())
+    finally:
+        near_dedup.compared = compared
+    assert got == brute_near(rows)
+    assert sum(taken) < 400  # all pairs of blocks: some 38 * 39 / 2 = 741
+
+
 def test_filter_holds_all_wanted_and_few_others(spark):
     docs = spark.range(20000).selectExpr("id AS doc_id", "concat('word', id) AS text")
     wanted = spark.range(0, 20000, 10).selectExpr("id AS node")
