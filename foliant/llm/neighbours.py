@@ -155,14 +155,11 @@ def nearest(k: int):
         if len(asked) and len(ids):
             x = stacked(rows["v"])
             for query_id, q in zip(asked.tolist(), stacked(queries["q"])):
-                d = np.sqrt(((x - q) ** 2).sum(axis=1))
-                d[ids == query_id] = np.inf
-                if len(d) > 4 * k:
-                    at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    at = at[np.lexsort((ids[at], d[at]))[:k]]
-                else:
-                    at = np.lexsort((ids, d))[:k]
-                at = at[np.isfinite(d[at])]
+                d = np.sqrt(((x - q) ** 2).sum(axis=1))  # beyond the range of doubles it is infinite, and comes last
+                at = np.flatnonzero(ids != query_id)
+                if len(at) > 4 * k:
+                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+                at = at[np.lexsort((ids[at], d[at]))[:k]]
                 out.append((np.full(len(at), query_id), ids[at], d[at]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
