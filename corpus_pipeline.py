@@ -1,7 +1,9 @@
 """A training corpus from the table of documents: filter, deduplicate, mix, pack.
 
 Each stage gets all rows that the one before it kept, as a table read from storage, and all but
-the last return the columns of documents.
+the last return the columns of documents. Rows with null or shared ids, null and empty texts and
+repeated rows are handled as the operators' docstrings say; a row is judged by itself in the first
+stage, and of equal texts one stays in the second. Empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -51,11 +51,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     """doc_id, text, source, _size, source_size, target and taken: the words that the mix takes of each row, repeats counted.
 
     The words taken of a source sum to its rounded target: the row at the cut is taken in part.
-    Keys are md5(seed:doc_id), so that reruns agree; ties go by doc_id, size and text, and rows alike in
+    Keys are md5(seed:doc_id), so that reruns agree; ties go by doc_id, size and a hash of the text, and rows alike in
     all of these are interchangeable. Other columns are not read (mixed_rows carries them). Null sources form a source of their own, which comes last.
     Rows without words are taken with 0. An empty table gives an empty result.
     """
     sized = with_sizes(docs.select("doc_id", "text", "source", *(["_rest"] if "_rest" in docs.columns else []))).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    sized = sized.withColumn("_tie", F.xxhash64("text"))
     targets = source_targets(sized.select("source", "_size"), weights, max_epochs)
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["_source"]))
     # 12 hex digits of the key make a fraction of [0, 1); its range decides the bucket
@@ -65,17 +66,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     rows = rows.join(totals, rows["_source"].eqNullSafe(totals["_s"]) & (rows["_bucket"] == totals["_b"]))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("_offset") + F.coalesce(F.sum("_size").over(within), F.lit(0))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), rest - ahead))
-    return rows.withColumn("taken", taken.cast("long")).drop("_source", "_rows", "_bucket", "_s", "_b", "_offset", "_key")
+    return rows.withColumn("taken", taken.cast("long")).drop("_source", "_rows", "_bucket", "_s", "_b", "_offset", "_key", "_tie")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: each row as often as it is taken whole, and a row at a cut once more with just its first words."""
+    """The mix itself, with the columns of docs: each row as often as it is taken whole, and a row at a cut once more with just its first words.
+
+    Null and empty texts have no words and don't come; null sources and ids, repeated rows and
+    ties are as in mix. An empty table gives an empty result.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
     packed = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in rest] or [F.lit(0)]).alias("_rest"))
     rows = mix(packed, **options).filter("taken > 0")

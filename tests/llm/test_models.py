@@ -47,6 +47,22 @@ def test_odd_vectors(spark):
     assert neighbours.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_distances_beyond_the_range_come_last(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [-1e200, 0.0]), (3, [-1e200, 5.0])]
+    got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 1.0), (2, 2, float("inf")), (3, 3, float("inf"))]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    rows = [(None, "a b c d e f", None, None, None), (None, "a b c d e f", "en", "s", 1), (7, None, "en", "s", 0), (7, "", "en", None, 0), (8, "x " * 5000, "en", "s", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/some/documents.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
+    for d in ("some", "none"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()} == {None, 8}  # rows without words aren't mixed in
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_classifier_on_held_out_labels(spark):
     docs = documents(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
