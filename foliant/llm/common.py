@@ -14,6 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
+#: Bounds of an Arrow batch on its way to a Python worker. A batch is held by both sides, several times over while it grows, and long texts make large rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's bounds of Arrow batches, where they are unset."""
+    for name, most in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, most)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

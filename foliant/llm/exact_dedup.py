@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, spare
+from .common import SPACE_BYTES, small_batches, spare
 
 #: Bytes that a task's trie may hold before subtrees are spilled.
 TRIE_BYTES = 48 << 20
@@ -210,6 +210,7 @@ def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     length are the survivor, once more: each is marked kept. Texts of any length are compared
     whole. Other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(digests, "doc_id long, text_sha256 string, n_points long")
     return rows.join(owners(docs, trie_bytes), "text_sha256").select(
         "doc_id",

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, spare
+from .common import cut, mix64, small_batches, spare
 from .graph import Forest, components
 
 #: Words of a shingle, per cent of similarity, values of a sketch.
@@ -170,6 +170,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     are linked with nothing and kept, with a null component_id. Texts of any length are read
     whole. Other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     c = least_shared(k, percent)
     sketches = cut(docs.select("doc_id", "text").mapInArrow(sketched(words, k), "doc_id long, n_shingles long, class binary, sketch array<long>"))
     classes = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, small_batches
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, twice over.
@@ -204,6 +204,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     are cut, into pieces of capacity and one rest. Rows that repeat a doc_id are packed each.
     Other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     pieces = cut(docs.select("doc_id", "text").mapInArrow(tokenise(tokenizer_path, capacity), PIECES))
     lengths = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     plan = docs.sparkSession.sparkContext.broadcast(best_fit_decreasing(lengths, capacity))

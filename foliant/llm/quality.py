@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Labelled rows of the sample; words that the text view of a verdict may weigh; rounds of exchange, and rows that a view gives for each side and round.
 LABELLED, FEATURES, ROUNDS, EXCHANGED = 6000, 3000, 3, 150
@@ -291,6 +291,7 @@ def surest(model, exchanged: int):
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, features: int = FEATURES, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> tuple[Classifier, DataFrame]:
     """The classifier, fitted on the `labelled` rows whose hashed ids are least and on pseudo-labels from all unlabelled rows; and the table of features of all documents."""
     spark = docs.sparkSession
+    small_batches(spark)
     share = spark.sparkContext.broadcast
     rows = docs.select("doc_id", "text", "lang", "source")
     known = labels.filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("quality"), (1 - F.max("toxic")).cast("int").alias("toxic"))
