@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The contract's white space, for Java, Python and DuckDB patterns alike.
@@ -25,6 +27,19 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, most)
 
 
+def lean(run):
+    """run over batches, after which the worker, which waits for other tasks, gives the memory that it no longer uses back to the machine."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return task
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

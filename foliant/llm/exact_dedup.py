@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, small_batches, spare
+from .common import SPACE_BYTES, lean, small_batches, spare
 
 #: Bytes that a task's trie may hold before subtrees are spilled.
 TRIE_BYTES = 48 << 20
@@ -196,9 +196,9 @@ def own(budget: int):
 
 def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row for each distinct text: text_sha256, keep_id, keep_points, group_size."""
-    found = docs.select("doc_id", "text").mapInArrow(fold_rows(trie_bytes), "length long, hash long, body binary, n_points long, owner long, rows long")
+    found = docs.select("doc_id", "text").mapInArrow(lean(fold_rows(trie_bytes)), "length long, hash long, body binary, n_points long, owner long, rows long")
     dealt = found.repartition("length", "hash").sortWithinPartitions("length", "hash")
-    return dealt.mapInArrow(own(trie_bytes), "text_sha256 string, keep_id long, keep_points long, group_size long")
+    return dealt.mapInArrow(lean(own(trie_bytes)), "text_sha256 string, keep_id long, keep_points long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -211,7 +211,7 @@ def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     whole. Other columns are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text").mapInArrow(digests, "doc_id long, text_sha256 string, n_points long")
+    rows = docs.select("doc_id", "text").mapInArrow(lean(digests), "doc_id long, text_sha256 string, n_points long")
     return rows.join(owners(docs, trie_bytes), "text_sha256").select(
         "doc_id",
         "keep_id",

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, lean
 
 
 class Forest:
@@ -49,7 +49,7 @@ def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """edges: two long columns. Gives node, component (the least node reachable) for each node that has an edge to another one. Edges with null ends and loops are left out."""
     a, b = edges.columns
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(local_stars, "u long, v long").distinct()
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(lean(local_stars), "u long, v long").distinct()
     e, seen = cut(e), None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, small_batches, spare
+from .common import cut, lean, mix64, small_batches, spare
 from .graph import Forest, components
 
 #: Words of a shingle, per cent of similarity, values of a sketch.
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     small_batches(docs.sparkSession)
     c = least_shared(k, percent)
-    sketches = cut(docs.select("doc_id", "text").mapInArrow(sketched(words, k), "doc_id long, n_shingles long, class binary, sketch array<long>"))
+    sketches = cut(docs.select("doc_id", "text").mapInArrow(lean(sketched(words, k)), "doc_id long, n_shingles long, class binary, sketch array<long>"))
     classes = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     lists = cut(prefix_lists(classes, k, percent, c))
     short = cut(short_pairs(lists.filter(f"members <= {short_list}"), percent))
@@ -203,7 +203,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, most: int = BLOOM_ID
     """
     rows, n = docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), wanted.count()
     if n > most:
-        return rows.join(wanted, rows["doc_id"] == wanted["node"], "left_semi").mapInArrow(full_sets(words), "node long, set array<long>")
+        return rows.join(wanted, rows["doc_id"] == wanted["node"], "left_semi").mapInArrow(lean(full_sets(words)), "node long, set array<long>")
     slots = max(1, n // 4)
 
     def place(c: str) -> list[Column]:
@@ -215,7 +215,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, most: int = BLOOM_ID
     got = wanted.select(*place("node")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # most / 4 rows at most
     filled[got["slot"].to_numpy()] = got["mask"].to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(filled)
-    return rows.select("doc_id", "text", *place("doc_id")).mapInArrow(full_sets(words, held), "node long, set array<long>")
+    return rows.select("doc_id", "text", *place("doc_id")).mapInArrow(lean(full_sets(words, held)), "node long, set array<long>")
 
 
 def prefix_lists(classes: DataFrame, k: int, percent: int, c: int) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, small_batches
+from .common import WORD, cut, lean, small_batches
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, twice over.
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     Other columns are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    pieces = cut(docs.select("doc_id", "text").mapInArrow(tokenise(tokenizer_path, capacity), PIECES))
+    pieces = cut(docs.select("doc_id", "text").mapInArrow(lean(tokenise(tokenizer_path, capacity)), PIECES))
     lengths = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     plan = docs.sparkSession.sparkContext.broadcast(best_fit_decreasing(lengths, capacity))
     buckets = max(1, -(-sum(lengths.values()) // RANK_ROWS))
@@ -216,4 +216,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     order = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_i", F.row_number().over(order)).join(counts, ["length", "_b"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_i") - 1).alias("rank"))
-    return ranked.mapInArrow(lambda batches: place(plan.value)(batches), f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(lambda batches: place(plan.value)(batches)), f"{PIECES}, sequence_id long, offset long")

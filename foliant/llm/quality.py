@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, lean, small_batches
 
 #: Labelled rows of the sample; words that the text view of a verdict may weigh; rounds of exchange, and rows that a view gives for each side and round.
 LABELLED, FEATURES, ROUNDS, EXCHANGED = 6000, 3000, 3, 150
@@ -214,7 +214,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chosen_words(train: DataFrame, sizes: dict, features: int) -> dict[str, list[tuple[int, str]]]:
     """For each verdict the features (kind, name) that tell the classes apart best, by the log-odds of their document counts in units of their error."""
-    counts = train.select("text", *HEADS).mapInArrow(word_counts, "head string, kind int, name string, n0 long, n1 long").groupBy("head", "kind", "name").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = train.select("text", *HEADS).mapInArrow(lean(word_counts), "head string, kind int, name string, n0 long, n1 long").groupBy("head", "kind", "name").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     size = lambda c: F.element_at(F.create_map(*[F.lit(v) for h in HEADS for v in (h, float(max(1, sizes[h][c])))]), F.col("head"))
     odds = F.log((F.col("n1") + 0.5) / (size(1) + 1)) - F.log((F.col("n0") + 0.5) / (size(0) + 1))
     z = F.abs(odds) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
@@ -302,11 +302,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, features
     chosen = chosen_words(sample.filter("NOT tune"), {h: (seen[f"{h}0"], seen[f"{h}1"]) for h in HEADS}, features)
     vocabulary = sorted({f for h in HEADS for f in chosen[h]})
     held = share(vocabulary)
-    table = cut(rows.mapInArrow(featured(held), FEATURED))
+    table = cut(rows.mapInArrow(lean(featured(held)), FEATURED))
     figure = lambda f: [F.round(f(F.get("figures", F.lit(i))), 4) for i in range(SHAPE)]
     stats = np.array([v or 0 for v in table.select(*figure(F.avg), *figure(F.stddev_pop)).first()])
     model = Classifier(vocabulary, stats[:SHAPE], stats[SHAPE:] + 1e-3)
-    got = sample.select("doc_id", "text", "lang", "source", *HEADS, "tune").mapInArrow(featured(held, 3), f"{FEATURED}, rest0 int, rest1 int, rest2 boolean").orderBy("key", "doc_id", "rest0", "rest1").toArrow().combine_chunks()
+    got = sample.select("doc_id", "text", "lang", "source", *HEADS, "tune").mapInArrow(lean(featured(held, 3)), f"{FEATURED}, rest0 int, rest1 int, rest2 boolean").orderBy("key", "doc_id", "rest0", "rest1").toArrow().combine_chunks()
     hits, shape = arrays(*(got[c].combine_chunks() for c in ("hits", "figures"))) if len(got) else ([], np.zeros((0, SHAPE + 2), np.float32))
     tune = np.array(got["rest2"].to_pylist(), bool)
     y = {h: np.array([-1 if c is None else c for c in got[f"rest{i}"].to_pylist()], np.int64) for i, h in enumerate(HEADS)}
@@ -332,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, features
     pool = cut(table.join(known.select(F.col("_id").alias("doc_id")), "doc_id", "left_anti").select("key", "hits", "figures")) if rounds and any(map(len, taught.values())) else None
     places: dict[int, int] = {}
     for _ in range(rounds if pool is not None else 0):
-        found = pool.mapInArrow(surest(share(model), exchanged), "side int, sure double, key long, hits array<int>, figures array<float>").dropDuplicates(["side", "key"])
+        found = pool.mapInArrow(lean(surest(share(model), exchanged)), "side int, sure double, key long, hits array<int>, figures array<float>").dropDuplicates(["side", "key"])
         first = Window.partitionBy("side").orderBy(F.desc("sure"), "key")
         for r in sorted(found.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= exchanged).collect(), key=lambda r: (r.side, r.nth)):  # 8 * exchanged rows at most
             if r.key not in places:
@@ -392,7 +392,7 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     model, table = train(docs, labels, **options)
     kinds = ", ".join(f"{c} {'boolean' if c.endswith('ok') else 'double'}" for c in COLUMNS)
-    return table.mapInArrow(scored(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id long, {kinds}").select(
+    return table.mapInArrow(lean(scored(docs.sparkSession.sparkContext.broadcast(model))), f"doc_id long, {kinds}").select(
         "doc_id",
         "quality_score",
         F.col("toxic_score").alias("nontoxic_score"),
@@ -427,4 +427,4 @@ def drop_refused(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model, _ = train(docs, labels, **options)
     share = docs.sparkSession.sparkContext.broadcast
     names = [c.lower() for c in docs.columns]
-    return docs.mapInArrow(keep(share(model.vocabulary), share(model), [names.index(c) for c in ("doc_id", "text", "lang", "source")]), docs.schema)
+    return docs.mapInArrow(lean(keep(share(model.vocabulary), share(model), [names.index(c) for c in ("doc_id", "text", "lang", "source")])), docs.schema)
