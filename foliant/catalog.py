@@ -380,7 +380,7 @@ def ocr_items_to_blocks(spark, d):
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "click", "image").when(F.col("event_type") == "signup", "list").when(F.col("event_type") == "purchase", "header").otherwise("text")
     fields = {"type": kind, "page_idx": (F.col("user_id").cast("int") % 3), "bbox": F.array(*map(F.lit, (10.0, 100.0, 500.0, 200.0))), "text": F.concat(F.lit(" "), "props"), "text_level": F.when(F.col("event_type") == "error", 2), "image_caption": F.array("props"), "image_footnote": F.array(F.lit("note")), "list_items": F.array(F.lit("a"), F.col("props"))}
-    names = [f.split(": ", 1) for f in blocks.ITEM[len("array<struct<") : -2].replace(", ", ",").split(",")]
+    names = [f.split(": ", 1) for f in blocks.ITEM[len("struct<") : -1].replace(", ", ",").split(",")]
     item = F.struct(*[(fields[n] if n in fields else F.lit(None)).cast(t).alias(n) for n, t in names])
     items = e.select(F.col("event_id").alias("doc_id"), F.lit(0).alias("ord"), item.alias("item"), F.lit(600.0).alias("width"), F.lit(842.0).alias("height"), F.array(F.lit(10), F.lit(11)).alias("pages"))
     return blocks.item_blocks(items).select("doc_id", "page", "x0", "y0", "kind", "level", "text")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import progress as P
-from .functions.text import duration_text
-from .operators import library, pages, search
-from .plans import service
+from .functions.text import duration_text, elapsed_text
+from .operators import jobs, library, pages, search
+from .plans import parsing, service
 from .plans.views import CHUNKS, DOCS, LOW, index, library_documents, table, views
 from .sources import files, recognition
 
@@ -60,7 +60,10 @@ def turned_boxes(spark, d):
     return pages.turned(b).select("l_orderkey", "l_linenumber", "x0", "y0")
 
 
-@query()
+@query(f"""{WITH}, b AS (SELECT doc_id, page_start AS page, seq, kind = 'table' AS is_table, y AS y0 FROM chunks),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1 AS k FROM b WHERE NOT is_table),
+p AS (SELECT doc_id, page, seq, is_table, y0, k AS spot, 1 AS z FROM t UNION ALL SELECT b.doc_id, b.page, b.seq, b.is_table, b.y0, coalesce((SELECT min(k) FROM t WHERE t.doc_id = b.doc_id AND t.page = b.page AND t.y0 > b.y0), 1000000), 0 FROM b WHERE is_table)
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY spot, z, CASE WHEN is_table THEN y0 END, seq) - 1)::INTEGER AS ord, is_table, y0 FROM p""")
 def tables_in_place(spark, d):
     _, chunks = views(spark, d)
     b = chunks.select("doc_id", F.col("page_start").alias("page"), F.col("seq").alias("ord"), (F.col("kind") == "table").alias("is_table"), "y")
@@ -74,7 +77,7 @@ def recognition_batches(spark, d):
     return b.select("doc_id", "batch", F.size("pages").alias("n_pages"), F.array_min("pages").alias("first_page"))
 
 
-@query()
+@query("SELECT event_id AS doc_id, (3 + coalesce(user_id, 0) % 10)::INTEGER AS page, 0 AS ord, event_type AS text, 1.0::DOUBLE AS x0, 2.0::DOUBLE AS y0, 3.0::DOUBLE AS x1, 4.0::DOUBLE AS y1, 1190.0::DOUBLE AS pw, 1684.0::DOUBLE AS ph FROM events WHERE coalesce(user_id, 0) % 10 < 2 AND event_type IS NOT NULL")
 def recognised_spans(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.array(F.lit(3), F.lit(4)).alias("pages"), F.to_json(F.struct(F.array(F.struct(F.col("user_id").cast("int").alias("page_idx"), F.array(F.lit(1190.0), F.lit(1684.0)).alias("page_size"), F.array(F.struct(F.array(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("event_type").alias("content"), F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0))).alias("bbox"))).alias("spans"))).alias("lines"))).alias("para_blocks"))).alias("pdf_info"))).alias("middle"))
     return recognition.page_spans(e.withColumn("middle", F.regexp_replace("middle", r'"page_idx":\d*(\d)', r'"page_idx":$1')))
@@ -93,6 +96,27 @@ def time_left(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(n > 0, duration_text(F.lit(64.0) / F.nullif(n, F.lit(0)) * (40 - n))).alias("left_over"))
 
 
+@query("SELECT o_orderkey, CASE WHEN s < 60 THEN s || ' 秒' WHEN s < 3600 THEN (s // 60) || ' 分 ' || (s % 60) || ' 秒' ELSE (s // 3600) || ' 小时 ' || (s % 3600 // 60) || ' 分' END AS took FROM (SELECT o_orderkey, greatest(0, floor((o_orderkey % 9000) / 2.0::DOUBLE - 30 + 0.5))::BIGINT AS s FROM orders)")
+def elapsed_times(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", elapsed_text(F.col("o_orderkey") % 9000 / 2 - 30).alias("took"))
+
+
+@query(f"""{WITH}, p AS (SELECT DISTINCT doc_id, page_start AS page, (doc_id + page_start) % 5 = 0 AS scanned FROM chunks), c AS (SELECT doc_id, count(*) FILTER (NOT scanned) AS n, count(*) FILTER (scanned) AS s FROM p GROUP BY doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS k FROM p WHERE NOT scanned) SELECT doc_id, page, round(n / (n + 30 * s)::DOUBLE * k / n, 9) AS share FROM k JOIN c USING (doc_id) WHERE k % 3 = 0""")
+def page_reports(spark, d):
+    _, chunks = views(spark, d)
+    route = chunks.select("doc_id", F.col("page_start").alias("page"), ((F.col("doc_id") + F.col("page_start")) % 5 == 0).alias("scanned")).distinct()
+    return parsing.page_reports(route, 3).withColumn("share", F.round("share", 9))
+
+
+@query("WITH s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' ELSE 'parsing' END AS status, CASE doc_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'queued' WHEN 2 THEN 'done' END AS summary FROM documents) SELECT doc_id, CASE WHEN summary = 'running' THEN 'queued' ELSE summary END AS summary FROM s WHERE status = 'done'")
+def summary_recovery(spark, d):
+    i = F.col("doc_id")
+    state = table(spark, d, "documents").select("doc_id", F.when(i % 3 == 0, "done").when(i % 3 == 1, "failed").otherwise("parsing").alias("status"), F.when(i % 4 == 0, "running").when(i % 4 == 1, "queued").when(i % 4 == 2, "done").alias("summary"))
+    after = jobs.recover_summaries(state)
+    return after.join(jobs.summary_queued(after), "doc_id", "left_semi").select("doc_id", "summary")
+
+
 @query(f"{WITH} SELECT id, md5(heading || chr(10) || text) AS reranked, md5(CASE WHEN heading <> '' THEN heading || chr(10) || text ELSE text END) AS embedded FROM chunks")
 def unit_texts(spark, d):
     _, chunks = views(spark, d)

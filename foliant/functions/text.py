@@ -135,6 +135,47 @@ def duration_text(seconds: Column) -> Column:
     return F.when(s < 60, F.concat(s.cast("string"), F.lit(" 秒"))).when(s < 3600, F.concat(minutes, F.lit(" 分钟"))).otherwise(F.concat(hours, F.lit(" 小时 "), F.floor(s % 3600 / 60).cast("string"), F.lit(" 分钟")))
 
 
+def elapsed_text(seconds: Column) -> Column:
+    """How long a job has taken, to the second below an hour; never negative."""
+    s = F.greatest(F.lit(0), F.floor(seconds + 0.5)).cast("bigint")
+    part = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(unit))
+    hours = F.concat_ws(" ", part(s / 3600, " 小时"), part(s % 3600 / 60, " 分"))
+    return F.when(s < 60, part(s, " 秒")).when(s < 3600, F.concat_ws(" ", part(s / 60, " 分"), part(s % 60, " 秒"))).otherwise(hours)
+
+
+def stamp(at: Column) -> Column:
+    """A time as stored, in the session's zone."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
+def shown_stamp(text: Column) -> Column:
+    """A stored time without its seconds, a dash if there is none."""
+    return F.coalesce(F.nullif(F.left(text, F.lit(16)), F.lit("")), F.lit("–"))
+
+
+# The lines that a small Markdown knows
+MD_HEAD, MD_ITEM = r"(?U)^#{1,6}\s+(.*)$", r"(?U)^(?:[-*•·]|[0-9]+[.、)])\s*(.*)$"
+
+
+def markdown(c) -> Column:
+    """Headings, lists, bold type and paragraphs as HTML; everything else is escaped. A list goes on while its kind doesn't change; a blank line ends it."""
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    kind = lambda x: F.when(x.rlike(MD_HEAD), "h3").when(x.rlike(MD_ITEM), F.when(x.rlike("^[0-9]"), "ol").otherwise("ul")).when(x == "", "").otherwise("p")
+    body = lambda x: F.regexp_replace(html_escaped(F.when(x.rlike(MD_HEAD), F.regexp_replace(x, MD_HEAD, "$1")).otherwise(F.regexp_replace(x, MD_ITEM, "$1"))), r"\*\*(.+?)\*\*", "<strong>$1</strong>")
+    rows = F.transform(lines, lambda x: F.struct(kind(x).alias("k"), body(x).alias("t")))
+    listed = lambda k: k.isin("ol", "ul")
+    beside = lambda i: F.coalesce(F.get(rows, i)["k"], F.lit(""))
+
+    def shown(row: Column, i: Column) -> Column:
+        k, t = row["k"], row["t"]
+        opened = F.when(beside(i - 1) != k, F.concat(F.lit("<"), k, F.lit(">"))).otherwise("")
+        closed = F.when(beside(i + 1) != k, F.concat(F.lit("</"), k, F.lit(">"))).otherwise("")
+        plain = F.concat(F.lit("<"), k, F.lit(">"), t, F.lit("</"), k, F.lit(">"))
+        return F.when(k == "", "").when(listed(k), F.concat(opened, F.lit("<li>"), t, F.lit("</li>"), closed)).otherwise(plain)
+
+    return F.array_join(F.transform(rows, shown), "")
+
+
 def size_text(n: Column) -> Column:
     kb, mb = F.format_string("%.0f KB", F.round(n / 1024, 0).cast("double")), F.format_string("%.1f MB", F.round(n / 1048576, 1).cast("double"))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, kb).otherwise(mb)

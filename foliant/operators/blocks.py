@@ -72,7 +72,7 @@ def continuations(blocks: DataFrame) -> DataFrame:
     return rows.select(*blocks.columns, F.coalesce(cont, F.lit(False)).alias("cont"))
 
 
-ITEM = "array<struct<type: string, page_idx: int, bbox: array<double>, text: string, text_level: int, table_caption: array<string>, table_rows: array<array<string>>, table_footnote: array<string>, image_caption: array<string>, image_footnote: array<string>, list_items: array<string>>>"
+ITEM = "struct<type: string, page_idx: int, bbox: array<double>, text: string, text_level: int, table_caption: array<string>, table_rows: array<array<string>>, table_footnote: array<string>, image_caption: array<string>, image_footnote: array<string>, list_items: array<string>>"
 
 
 def item_blocks(items: DataFrame) -> DataFrame:

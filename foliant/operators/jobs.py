@@ -44,3 +44,26 @@ def progress_floor(reports: DataFrame) -> DataFrame:
 def still_running(results: DataFrame, state: DataFrame) -> DataFrame:
     """Results whose document still runs; others were requeued or deleted meanwhile."""
     return results.join(state.filter("status = 'running'").select("doc_id"), "doc_id", "left_semi")
+
+
+def summary_queued(state: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """state: doc_id, status, summary -> doc_id of those asked (all, without ids) whose summary is to be made: only parsed documents."""
+    asked = state if ids is None else state.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return asked.filter("status = 'done'").select("doc_id")
+
+
+def recover_summaries(state: DataFrame) -> DataFrame:
+    """After a restart summaries that were being written wait again."""
+    return state.withColumn("summary", F.when(F.col("summary") == "running", "queued").otherwise(F.col("summary")))
+
+
+def changed(state: DataFrame, changes: DataFrame, stamp) -> tuple[DataFrame, DataFrame]:
+    """changes: doc_id and some of state's columns, null where nothing changes. The state with them and the time of change (updated_at), and doc_id, exists for each change."""
+    names = [c for c in changes.columns if c != "doc_id"]
+    new = changes.select("doc_id", *[F.col(c).alias(f"_{c}") for c in names], F.lit(True).alias("_hit"))
+    rows = state.join(new, "doc_id", "left")
+    kept = [c for c in state.columns if c not in (*names, "updated_at")]
+    old = F.col("updated_at") if "updated_at" in state.columns else F.lit(None)
+    after = rows.select(*kept, *[F.coalesce(f"_{c}", c).alias(c) for c in names], F.when(F.col("_hit"), stamp).otherwise(old).alias("updated_at"))
+    known = state.select("doc_id", F.lit(True).alias("_known"))
+    return after, changes.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("_known", F.lit(False)).alias("exists"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import join_lines, rows_text
+from .blocks import outside_tables
+
 
 def block_fonts(spans: DataFrame) -> DataFrame:
     """spans: doc_id, block, ord, text, size, bold -> doc_id, block, size (of most stripped characters; of equals the first), bold (of more than half)."""
@@ -32,8 +35,6 @@ def accepted_table(rows: Column) -> Column:
 def merged_order(local: DataFrame, recognised: DataFrame) -> DataFrame:
     """Blocks of both kinds of pages with one ord for each document: by page, text layer before recognition, own order."""
     both = local.withColumn("_from", F.lit(0)).unionByName(recognised.withColumn("_from", F.lit(1)), allowMissingColumns=True)
-    from pyspark.sql import Window
-
     return both.withColumn("ord", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "_from", "ord")) - 1).cast("int")).drop("_from")
 
 
@@ -68,21 +69,38 @@ def by_cost(pages: DataFrame, tasks: int, local: int = 1, recognised: int = 30)
     return rows.withColumn("_slot", slot).repartition(tasks, "_slot").drop("_slot", "_cost")
 
 
-def extracted(files: DataFrame, extract) -> DataFrame:
-    """files: doc_id, content -> raw blocks by a deployment's extractor; a failure becomes a row with its error, cut to 500 characters.
+#: What a deployment's extractor gives for each page, after the page's number; a block has lines of text, or rows of cells if it is a table.
+PAGE = "width double, height double, rotation int, n_chars int, n_bad int, img_ratio double, n_drawings int, blocks array<struct<x0: double, y0: double, x1: double, y1: double, lines: array<string>, rows: array<array<string>>, size: double, bold: boolean>>"
+FIELDS, BLOCK = [f.split()[0] for f in PAGE.partition(", blocks")[0].split(", ")], ("x0", "y0", "x1", "y1", "lines", "rows", "size", "bold")
+
 
-    extract(content) gives (page, x0, y0, x1, y1, text, is_table, size, bold, nlines, page_height).
+def extracted(files: DataFrame, extract: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """files: doc_id, content -> one row a page: doc_id, page, PAGE, error. A file that can't be read is one row with its error, cut to 500 characters.
+
+    extract(content) gives (*FIELDS, blocks) of each page, a block as a tuple in BLOCK's order.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "ord", "page", "x0", "y0", "x1", "y1", "text", "is_table", "size", "bold", "nlines", "page_height", "error"]
         for f in frames:
-            rows = []
             for doc_id, content in zip(f["doc_id"], f["content"]):
                 try:
-                    rows += [(doc_id, i, *b, None) for i, b in enumerate(extract(content))]
-                except Exception as e:
-                    rows.append((doc_id, 0, *[None] * 11, str(e)[:500]))
-            yield pd.DataFrame(rows, columns=names).astype(object)
-
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id long, ord int, page int, x0 double, y0 double, x1 double, y1 double, text string, is_table boolean, size double, bold boolean, nlines int, page_height double, error string")
+                    rows = [(doc_id, i, *page[:-1], [dict(zip(BLOCK, b)) for b in page[-1]], None) for i, page in enumerate(extract(content))]
+                except Exception as e:  # the other files go on
+                    rows = [(doc_id, 0, *[None] * len(FIELDS), None, str(e)[:500])]
+                yield pd.DataFrame(rows, columns=["doc_id", "page", *FIELDS, "blocks", "error"]).astype(object)
+
+    return files.select("doc_id", "content").mapInPandas(run, f"doc_id long, page int, {PAGE}, error string")
+
+
+def raw_blocks(pages: DataFrame) -> DataFrame:
+    """Raw blocks of extracted pages as they are shown: turned, text inside tables dropped, tables in their place, ord counting through the document."""
+    rows = pages.select("doc_id", "page", "rotation", "width", "height", F.posexplode("blocks").alias("ord", "b"))
+    rows = rows.filter(F.col("b.rows").isNull() | accepted_table(F.col("b.rows")))
+    is_table, lines = F.col("b.rows").isNotNull(), F.filter(F.coalesce("b.lines", F.expr("cast(array() as array<string>)")), lambda x: x != "")
+    text = F.when(is_table, rows_text(F.col("b.rows"))).otherwise(join_lines(lines))
+    sideways = F.pmod("rotation", F.lit(180)) != 0
+    rows = turned(rows.select("doc_id", "page", "ord", "rotation", "width", "height", *[f"b.{c}" for c in ("x0", "y0", "x1", "y1", "size", "bold")], text.alias("text"), is_table.alias("is_table"), F.size(lines).alias("nlines"), F.when(sideways, F.col("width")).otherwise(F.col("height")).alias("page_height")))
+    rows = rows.filter("text <> ''").drop("rotation", "width", "height")
+    tables = rows.filter("is_table")
+    placed = with_tables(outside_tables(rows.filter("NOT is_table"), tables).unionByName(tables))
+    return placed.withColumn("ord", F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("ord"))

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 TOP, FUSION, BONUS, RERANKED = 100, 60, 0.03, 30
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Runs of letters, digits and underscores; the offline segmenter.
-TOKEN = r"[\p{L}\p{N}_]+"
+#: Runs of letters, digits and underscores, those of Han characters by themselves; the offline segmenter.
+HAN = r"\p{IsHan}"
+TOKEN = rf"{HAN}+|[\p{{L}}\p{{N}}_&&[^{HAN}]]+"
 
 
 def tokens(c) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+    """Lower-cased words; a run of Han characters gives its pairs, a single one itself."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+    pairs = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))
+    cut = F.flatten(F.transform(runs, lambda run: F.when(run.rlike(rf"^{HAN}{{2}}"), pairs(run)).otherwise(F.array(run))))
+    return F.when(F.col(c).rlike(HAN) if isinstance(c, str) else c.rlike(HAN), cut).otherwise(runs)
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences_of_all, terms_of
-from ..operators import jobs, library, retrieval, search
+from ..operators import highlight, jobs, library, retrieval, search
 from ..sources import files
 from ..sources.providers import Breaker, Embedder, Reranker
 
@@ -21,6 +21,10 @@ class Refused(ValueError):
     """A request outside the bounds, or one that the present state doesn't allow."""
 
 
+class Missing(LookupError):
+    """A document that the library doesn't have."""
+
+
 class Unavailable(RuntimeError):
     """A mode that needs a service that doesn't answer."""
 
@@ -32,7 +36,7 @@ def need(ok: bool, what: str) -> None:
 
 @dataclass
 class Library:
-    """docs: id, filename, size, status; chunks: id, doc_id, seq, heading, text, page_start; vectors: id, v; words: the index of headings and texts."""
+    """docs: id, filename, size, status; chunks: id, doc_id, seq, heading, text, page_start, regions; vectors: id, v; words: the index of headings and texts; lines, glyphs: as highlights() takes them."""
 
     docs: DataFrame
     chunks: DataFrame
@@ -42,6 +46,8 @@ class Library:
     semantic: bool = False
     breaker: Breaker | None = None
     words: retrieval.Index | None = None
+    lines: DataFrame | None = None
+    glyphs: DataFrame | None = None
 
     def search(self, q: str, mode: str = "keyword", doc_id: int | None = None) -> tuple[DataFrame, bool]:
         """Documents found, and whether the semantic part took part."""
@@ -93,12 +99,30 @@ class Library:
         need(0 < len(q) <= QUERY_MOST and offset >= 0 and 1 <= limit <= HITS_MOST, "bounds")
         return search.hits_page(self.chunks, self.docs, q, doc_id, offset, limit)
 
+    def highlights(self, doc_id: int, q: str) -> DataFrame:
+        """Places of all hits of a document, in reading order: the passages that exact search finds, on their pages."""
+        need(0 < len(q) <= QUERY_MOST, "query length")
+        need(self.lines is not None, "no pages")
+        found = search.keyword_matches(self.chunks, self.docs, q, doc_id).select("id")
+        own = self.chunks.filter(F.col("doc_id") == doc_id).join(found, "id", "left_semi").select("doc_id", "id", "seq", "text", "regions")
+        mine = [p if p is None else p.filter(F.col("doc_id") == doc_id) for p in (self.lines, self.glyphs)]
+        return highlight.highlights(own, mine[0], terms_of(q), mine[1])
+
+    def health(self) -> DataFrame:
+        """One row: documents, passages, documents that are being worked on."""
+        busy = self.docs.agg(F.count("*").alias("n_documents"), F.count_if(~F.col("status").isin(*jobs.FINISHED)).alias("n_pending"))
+        return busy.crossJoin(self.chunks.agg(F.count("*").alias("n_chunks")))  # one row each
+
     def page(self, number: int = 1, size: int = 50, status: str = "all", q: str = "") -> DataFrame:
         need(number >= 1 and 1 <= size <= PAGE_MOST and len(q) <= NAME_MOST and status in library.CLASSES, "bounds")
         return library.page(self.docs, number, size, status, q)
 
     def document(self, doc_id: int) -> DataFrame:
-        return self.docs.filter(F.col("id") == doc_id)
+        """The document's row."""
+        row = self.docs.filter(F.col("id") == doc_id)
+        if row.isEmpty():
+            raise Missing(f"document {doc_id}")
+        return row
 
     def delete(self, ids: list[int]) -> tuple[DataFrame, DataFrame]:
         """Documents and passages that remain."""

@@ -73,19 +73,24 @@ class HashEmbedder:
         return out
 
 
-def embedded(units: DataFrame, embedder: Embedder, batch: int = 16) -> DataFrame:
-    """units: id, text -> id, v, in batches of the service's size."""
+def embedded(units: DataFrame, embedder: Embedder, batch: int = 16, failing: bool = False) -> DataFrame:
+    """units: id (of any type), text -> id, v, in batches of the service's size. failing: a batch that fails has an error, cut to 500 characters, instead of stopping the job."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for i in range(0, len(f), batch):
-                part = f.iloc[i : i + batch]
-                vectors = with_retries(lambda: embedder.embed(part["text"].tolist()))
-                if len(vectors) != len(part):
-                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "v": vectors})
-
-    return units.select("id", "text").mapInPandas(run, "id long, v array<float>")
+                part, error = f.iloc[i : i + batch], None
+                try:
+                    vectors = with_retries(lambda: embedder.embed(part["text"].tolist()))
+                    if len(vectors) != len(part):
+                        raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                except Exception as e:
+                    if not failing:
+                        raise
+                    vectors, error = [None] * len(part), str(e)[:500]
+                yield pd.DataFrame({"id": part["id"].tolist(), "v": vectors, **({"error": [error] * len(part)} if failing else {})})
+
+    return units.select("id", "text").mapInPandas(run, f"id {units.schema['id'].dataType.simpleString()}, v array<float>{', error string' if failing else ''}")
 
 
 def stream_events(lines: Iterable[str]) -> Iterator[tuple[str, int, int]]:

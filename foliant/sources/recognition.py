@@ -41,6 +41,15 @@ def spans(value) -> Iterator[dict]:
         stack += reversed(block.get("blocks") or [])
 
 
+def lenient(said: str | None) -> dict:
+    """A JSON object; what is none counts as empty: without lines only the places of hits are less exact."""
+    try:
+        value = json.loads(said or "{}")
+    except ValueError:
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
 def page_spans(answers: DataFrame) -> DataFrame:
     """answers: doc_id, pages (of the batch), middle (JSON) -> doc_id, page, ord, text, x0, y0, x1, y1, pw, ph; pages beyond the batch vanish."""
 
@@ -48,7 +57,7 @@ def page_spans(answers: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for doc_id, pages, middle in zip(f["doc_id"], f["pages"], f["middle"]):
-                for info in (json.loads(middle) if middle else {}).get("pdf_info") or []:
+                for info in lenient(middle).get("pdf_info") or []:
                     at = info.get("page_idx", 0)
                     if 0 <= at < len(pages):
                         pw, ph = info.get("page_size") or (None, None)
@@ -65,17 +74,42 @@ def page_batches(pages: DataFrame, size: int = BATCH_PAGES) -> DataFrame:
     return pages.withColumn("batch", F.floor(nth / size).cast("int")).groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list("page")).alias("pages"))
 
 
-def recognised(batches: DataFrame, recognise: Callable[[int, list[int]], str]) -> DataFrame:
-    """batches: doc_id, batch, pages -> doc_id, pages, middle, error, by a deployment's service."""
+def recognised(batches: DataFrame, recognise: Callable[[int, list[int]], tuple[str, str]]) -> DataFrame:
+    """batches: doc_id, batch, pages -> doc_id, pages, content, middle, error, by a deployment's service. recognise gives the list of items and the lines, both as JSON."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for doc_id, pages in zip(f["doc_id"], f["pages"]):
                 try:
-                    rows.append((doc_id, list(pages), recognise(int(doc_id), [int(p) for p in pages]), None))
+                    content, middle = recognise(int(doc_id), [int(p) for p in pages])
+                    json.loads(content)
+                    rows.append((doc_id, list(pages), content, middle, None))
                 except Exception as e:
-                    rows.append((doc_id, list(pages), None, str(e)[:300]))
-            yield pd.DataFrame(rows, columns=["doc_id", "pages", "middle", "error"])
+                    rows.append((doc_id, list(pages), None, None, str(e)[:300]))
+            yield pd.DataFrame(rows, columns=["doc_id", "pages", "content", "middle", "error"])
+
+    return batches.select("doc_id", "pages").mapInPandas(run, "doc_id long, pages array<int>, content string, middle string, error string")
+
+
+WORDS, NUMBERS, LISTS = ("type", "text"), ("page_idx", "text_level"), ("table_caption", "table_footnote", "image_caption", "image_footnote", "list_items")
+
+
+def item_of(said: dict) -> dict:
+    """One item with the fields that blocks are made of; fields of another kind are null."""
+    item = {k: said[k] if isinstance(said.get(k), str) else None for k in WORDS}
+    item |= {k: said[k] if isinstance(said.get(k), int) else None for k in NUMBERS}
+    item |= {k: [x for x in said[k] if isinstance(x, str)] if isinstance(said.get(k), list) else None for k in LISTS}
+    box = said.get("bbox")
+    return item | {"bbox": list(map(float, box)) if isinstance(box, list) and len(box) == 4 else None, "table_rows": table_rows(said.get("table_body"))}
+
+
+def content_items(answers: DataFrame, kind: str) -> DataFrame:
+    """answers: doc_id, pages, content -> doc_id, ord (in the order of pages), pages, item (of the type `kind`)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(doc_id, (int(pages[0]) << 32) + i, list(pages), item_of(said)) for doc_id, pages, content in zip(f["doc_id"], f["pages"], f["content"]) if content for i, said in enumerate(json.loads(content))]
+            yield pd.DataFrame(rows, columns=["doc_id", "ord", "pages", "item"])
 
-    return batches.mapInPandas(run, "doc_id long, pages array<int>, middle string, error string")
+    return answers.select("doc_id", "pages", "content").mapInPandas(run, f"doc_id long, ord long, pages array<int>, item {kind}")

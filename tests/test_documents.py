@@ -161,13 +161,14 @@ def test_stream_of_files(spark, tmp_path):
     (folder / "~$a.pdf").write_bytes(b"lock")
     assert files.scan_folder(spark, str(folder)).count() == 1
 
-    def extract(new):
-        return new.selectExpr("sha256", "0 AS seq", "cast(content AS string) AS text")
+    def work(new, batch):
+        new.selectExpr("doc_id", "cast(content AS string) AS text").write.mode("overwrite").parquet(f"{out}/chunks/batch={batch}")
+        return new.selectExpr("doc_id", "cast(null AS string) AS error")
 
     for name, body in (("b.pdf", b"two"), ("c.pdf", b"one")):
-        ingest.ingest(ingest.file_stream(spark, str(folder)), str(out), str(tmp_path / "state"), extract).awaitTermination(60)
+        ingest.ingest(ingest.file_stream(spark, str(folder)), str(out), str(tmp_path / "state"), work).awaitTermination(60)
         (folder / name).write_bytes(body)
-    ingest.ingest(ingest.file_stream(spark, str(folder)), str(out), str(tmp_path / "state"), extract).awaitTermination(60)
+    ingest.ingest(ingest.file_stream(spark, str(folder)), str(out), str(tmp_path / "state"), work).awaitTermination(60)
     events = {(r.filename, r.op) for r in spark.read.parquet(f"{out}/events").collect()}
     assert ("a.pdf", "done") in events and ("c.pdf", "duplicate") in events
     assert sorted(r.text for r in spark.read.parquet(f"{out}/chunks").collect()) == ["one", "two"]
