@@ -39,19 +39,15 @@ def merged_order(local: DataFrame, recognised: DataFrame) -> DataFrame:
 
 
 def with_tables(blocks: DataFrame) -> DataFrame:
-    """blocks: doc_id, page, ord, is_table, y0, ...: tables go before the first text block that starts lower; text keeps its order. One group is one page."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        text = pdf[~pdf["is_table"]].sort_values("ord", kind="stable")
-        order = list(text.index)
-        for i, t in pdf[pdf["is_table"]].sort_values(["y0", "ord"], kind="stable").iterrows():
-            at = next((k for k, j in enumerate(order) if pdf.at[j, "y0"] > t["y0"]), len(order))
-            order.insert(at, i)
-        out = pdf.loc[order].copy()
-        out["ord"] = range(len(out))
-        return out
-
-    return blocks.groupBy("doc_id", "page").applyInPandas(run, blocks.schema)
+    """blocks: doc_id, page, ord, is_table, y0, ...: tables go before the first text block that starts lower; text keeps its order. Each block sees its page's texts, one page's worth."""
+    page, text = Window.partitionBy("doc_id", "page"), ~F.col("is_table")
+    rows = blocks.withColumn("_nth", F.count_if(text).over(page.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_texts", F.array_sort(F.collect_list(F.when(text, F.struct("_nth", F.col("y0").alias("top")))).over(page)))
+    lower = F.filter("_texts", lambda t: t["top"] > F.col("y0"))
+    spot = F.when(text, F.col("_nth")).otherwise(F.coalesce(F.get(lower, F.lit(0))["_nth"], F.lit(2**62)))
+    order = page.orderBy(spot, F.desc("is_table"), F.when(F.col("is_table"), F.col("y0")), "ord")
+    kind = blocks.schema["ord"].dataType
+    return rows.withColumn("ord", (F.row_number().over(order) - 1).cast(kind)).select(*blocks.columns)
 
 
 def turned(blocks: DataFrame) -> DataFrame:
