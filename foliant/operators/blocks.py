@@ -42,13 +42,14 @@ def body_sizes(raws: DataFrame) -> DataFrame:
     return per.groupBy("doc_id").agg(F.min_by("size", F.struct(-F.col("n"), "first")).alias("body"))
 
 
-def classify(raws: DataFrame) -> DataFrame:
-    """blocks: kind (title, text, table) and level. A heading is short, and big, or bold and numbered, or a chapter line."""
+def classify(raws: DataFrame, numbered: bool = True) -> DataFrame:
+    """blocks: kind (title, text, table) and level. A heading is short, and big, or bold and numbered, or a chapter line; by size alone if not numbered."""
     rows = raws.join(body_sizes(raws), "doc_id", "left")
     t = F.col("text")
     short = (F.length(t) <= 40) & (F.col("nlines") <= 2) & ~X.ends_with_any(t, X.NOT_HEADING_ENDS) & ~t.rlike(X.CONTENTS_LINE)
-    rows = rows.withColumn("_pattern", X.heading_level(t)).withColumn("_big", F.col("size") >= F.coalesce("body", F.lit(DEFAULT_SIZE)) * F.lit(1.15).cast("double"))
-    rows = rows.withColumn("_head", ~F.col("is_table") & short & (F.col("_big") | ((F.col("_pattern") > 0) & F.col("bold")) | t.rlike(X.STRONG)))
+    rows = rows.withColumn("_pattern", X.heading_level(t) if numbered else F.lit(0)).withColumn("_big", F.col("size") >= F.coalesce("body", F.lit(DEFAULT_SIZE)) * F.lit(1.15).cast("double"))
+    chapter = t.rlike(X.STRONG) if numbered else F.lit(False)
+    rows = rows.withColumn("_head", ~F.col("is_table") & short & (F.col("_big") | ((F.col("_pattern") > 0) & F.col("bold")) | chapter))
     sizes = rows.filter("_head AND _big").select("doc_id", "size").distinct()
     ranks = sizes.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
     rows = rows.join(ranks, ["doc_id", "size"], "left")
