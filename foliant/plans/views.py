@@ -92,8 +92,8 @@ def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = library_documents(spark, sf_dir)
 
     def make() -> DataFrame:
-        chunks = line_chunks(docs).withColumn("low", ascii_lower("text"))
-        return chunks.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", "seq")
+        ordered = docs.select("id", "text").repartitionByRange(parts(docs), "id").sortWithinPartitions("id")  # whole texts are dealt out; their lines are in order then
+        return line_chunks(ordered).withColumn("low", ascii_lower("text"))
 
     return docs, stored(spark, sf_dir, "chunks", make)
 
