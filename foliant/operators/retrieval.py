@@ -47,9 +47,18 @@ def sizes(units: DataFrame) -> DataFrame:
     return units.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens("text"))), F.lit(0)).alias("tokens"))
 
 
-def index_of(units: DataFrame) -> Index:
-    """An index that isn't stored: it is made anew whenever it is asked."""
-    return Index(sized_postings(units), sizes(units))
+def asked_postings(units: DataFrame, query: list[str]) -> DataFrame:
+    """The rows of sized_postings for the terms of a query alone: other terms' postings are never made, dealt out or written."""
+    low = F.lower("text")
+    some = reduce(lambda a, b: a | b, [F.instr(low, t) > 0 for t in query], F.lit(False))  # a token is a part of the lowered text
+    wanted = F.array(*map(F.lit, query)).cast("array<string>")
+    rows = units.filter(some).select("id", tokens("text").alias("t")).select("id", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: F.array_contains(wanted, x))).alias("term"))
+    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def index_of(units: DataFrame, query: list[str] | None = None) -> Index:
+    """An index that isn't stored: it is made anew whenever it is asked, for the terms of one query if they are given."""
+    return Index(sized_postings(units) if query is None else asked_postings(units, query), sizes(units))
 
 
 def bm25(index: Index, query: list[str], top: int = TOP, only: DataFrame | None = None) -> DataFrame:
@@ -94,9 +103,9 @@ def fused(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def with_bonus(list_: DataFrame, units: DataFrame, terms: list[str]) -> DataFrame:
-    """Fused ids that still exist, raised by the share of the literal terms in their texts."""
+    """Fused ids that still exist, raised by the share of the literal terms in their texts. The list is short (2 * TOP), so the texts stay where they are."""
     has = reduce(lambda a, b: a + b, [(F.instr(F.lower("text"), t) > 0).cast("int") for t in terms])
-    rows = list_.join(units, "id").select("id", F.round(F.col("rrf") + BONUS * has / len(terms), 9).alias("score"), F.col("rank").alias("before"))
+    rows = units.join(F.broadcast(list_), "id").select("id", F.round(F.col("rrf") + BONUS * has / len(terms), 9).alias("score"), F.col("rank").alias("before"))
     return ranked(rows, F.desc("score"), "before")
 
 

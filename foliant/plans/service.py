@@ -62,7 +62,7 @@ class Library:
         units = self.chunks.filter(F.col("doc_id") == doc_id) if doc_id else self.chunks
         tokens = [r[0] for r in self.docs.sparkSession.range(1).select(F.explode(F.array_distinct(retrieval.tokens(F.lit(q.strip())))))
                   .collect()]  # the query's own words
-        index = self.words or retrieval.index_of(self.chunks.select("id", retrieval_text().alias("text")))
+        index = self.words or retrieval.index_of(self.chunks.select("id", retrieval_text().alias("text")), tokens)
         words = retrieval.bm25(index, tokens, only=units.select("id") if doc_id else None) if mode == "hybrid" and tokens else None
         try:
             [query] = self.embedder.embed([q])
@@ -76,7 +76,7 @@ class Library:
         rows = retrieval.with_bonus(fused, units, terms_of(q)) if mode == "hybrid" else fused.join(units.select("id"), "id", "left_semi")
         rows = self.rerank(q, rows, units)
         terms = terms_of(q)
-        counted = rows.join(units.select("id", "doc_id", F.lower("text").alias("_low")), "id").withColumn("n_hits", occurrences_of_all(F.col("_low"), terms))
+        counted = units.select("id", "doc_id", F.lower("text").alias("_low")).join(F.broadcast(rows), "id").withColumn("n_hits", occurrences_of_all(F.col("_low"), terms))
         best = counted.groupBy("doc_id").agg(F.min("rank").alias("best"), F.count("*").alias("chunk_count"), F.sum("n_hits").alias("hit_count"))
         named = search.filename_hits(self.docs, q, doc_id).select("doc_id", F.lit(True).alias("filename_match"))
         found = best.join(named, "doc_id", "full_outer").join(self.docs.select(F.col("id").alias("doc_id"), "filename"), "doc_id", "left")
